@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import chat, decontaminate, exact_dedup, sharding, warc
+from lorebank.llm import chat, decontaminate, exact_dedup, language, packing, sharding, simhash, warc
 from lorebank.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry)
 
 
@@ -15,14 +15,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    model = language.train(docs.where(~held_out))
+    rows = language.identify(docs.select("doc_id", "text"), model, "language")
+    return rows.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 #: Conversation -7: both of its turns hold strings that look like the template's own.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -47,8 +63,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_language_id": op5_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
