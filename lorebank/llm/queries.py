@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.llm import chat, decontaminate, exact_dedup, language, packing, sharding, simhash, warc
+from lorebank.llm import chat, decontaminate, exact_dedup, html_text, language, packing, private, sharding, simhash, warc
 from lorebank.llm.oracles import ORACLES  # noqa: F401  (read by the driver's entry)
 
 
@@ -39,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.span_report(private.find_private(_table(spark, sf_dir, "documents")))
+
+
 #: Conversation -7: both of its turns hold strings that look like the template's own.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -62,13 +66,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumn("record_type", F.when(F.col("verified"), F.col("record_type")).otherwise(broken)).drop("verified")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
+    "op6_private": op6_private,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
