@@ -169,7 +169,10 @@ def joined(spans: Column) -> Column:
 
 def span_report(found: DataFrame) -> DataFrame:
     """doc_id, the number of spans of each kind, a digest of the pattern spans and all spans as text."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), t["end"].alias("end")))
     return found.select("doc_id", *counts, F.sha2(F.encode(joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", terms))).alias("spans"))
 

@@ -35,6 +35,22 @@ def test_pattern_spans_equal_the_rules():
     assert private.base_spans("1" * 100_000) == plain("1" * 1000) == []
 
 
+def test_reported_counts_and_digests_equal_the_rules(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "+1 (017) 555-7713, 1.2.3.4 a@b.c d@e.f 4111 1111 1111 1111 x 9.9.9.9 y 8.8.8.8"), (-2, None)], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    rows = private.span_report(private.find_private(docs)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == len(texts)
+    names = list(RULES)
+    for r in rows:
+        spans = plain(texts[r.doc_id])
+        assert [r[f"n_{name}"] for name in names] == [sum(k == j for _, k, _ in spans) for j in range(4)]
+        told = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == [s for s in told.split(",") if s]
+
+
 def test_words_that_reveal_a_value_are_found(spark):
     secret = "zorblax met me at mail anna@x.org today about zorblax"
     texts = [f"{secret} v{k} common words here" for k in "abc"] + [f"common words here today mail about met {k}" for k in range(60)] + ["today mail bob@y.org about met"] * 3 + [None, ""]
