@@ -1,10 +1,8 @@
-"""Registered queries of the engine and their SQL oracles."""
+"""All registered queries of the engine; importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lorebank.plans import recall_queries  # noqa: F401
+from lorebank.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
