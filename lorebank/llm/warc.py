@@ -52,6 +52,12 @@ def _header(record_type: Column, page_id: Column, url: Column, date: Column, pay
     )
 
 
+def _place(id_col: str) -> Column:
+    """Digest and id as one string that is never null."""
+    own = F.col(id_col).cast("string")
+    return F.concat("digest", F.when(own.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), own)))
+
+
 def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> str:
     """Write one record per row; returns the archive's folder in the shared storage."""
     spark = pages.sparkSession
@@ -67,10 +73,10 @@ def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     record_type = F.when((F.col("uid") == F.col("holder_uid")) | (F.col("length") < min_revisit_bytes), "response").otherwise("revisit")
     heads = narrow.join(best, "digest").withColumn("kind", record_type)
     heads.select(_header(F.col("kind"), F.col("page_id"), F.col("url"), F.lit(date), F.col("sha1"), F.col("length"), F.col("holder")).alias("header"), "digest", F.col("page_id").isNull().alias("no_id")).write.option("compression", "zstd").parquet(f"{folder}/headers")
-    held = best.select("digest", "holder")
-    same = (F.col("held.digest") == F.col("p.digest")) & F.col("held.holder").eqNullSafe(F.col("p.page_id"))
-    store = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "payload").alias("p").join(held.alias("held"), same, "left_semi")
-    store.dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    # One key of digest and id: the join and the removal of repeated rows share its partitioning.
+    held = best.select(_place("holder").alias("place"))
+    store = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "payload").withColumn("place", _place("page_id"))
+    store.join(held, "place", "left_semi").dropDuplicates(["place"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
 
