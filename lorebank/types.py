@@ -19,13 +19,13 @@ MEMORY = T.StructType(
         T.StructField("space_id", T.StringType()),
         T.StructField("memory_type", T.StringType()),
         T.StructField("content", T.StringType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("created_at_us", T.LongType()),
         T.StructField("accessed_at_us", T.LongType()),
         T.StructField("access_count", T.LongType()),
         T.StructField("salience", T.DoubleType()),
         T.StructField("confidence", T.DoubleType()),
-        T.StructField("tags", T.ArrayType(T.StringType(), False)),
+        T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("attributes", T.StringType()),
         T.StructField("valid_from_us", T.LongType()),
         T.StructField("valid_until_us", T.LongType()),
