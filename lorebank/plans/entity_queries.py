@@ -82,9 +82,9 @@ def memory_claims(spark, sf):
     return claims(spark, sf).join(evidence(spark, sf).where("memory_id = 11").select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id", "entity_id")
 
 
-@query("claims_without_evidence", f"{ALL} SELECT claim_id FROM CL WHERE claim_id NOT IN (SELECT claim_id FROM EV WHERE memory_id % 2 = 0)")
+@query("claims_without_evidence", f"{ALL} SELECT claim_id FROM CL WHERE claim_id NOT IN (SELECT claim_id FROM EV WHERE confidence > 0.955::DOUBLE)")
 def claims_without_evidence(spark, sf):
-    return claims(spark, sf).join(evidence(spark, sf).where("memory_id % 2 = 0"), "claim_id", "left_anti").select("claim_id")
+    return claims(spark, sf).join(evidence(spark, sf).where("confidence > 0.955D"), "claim_id", "left_anti").select("claim_id")
 
 
 BOOST = f"""{ALL}, G AS (SELECT entity_id, max(confidence) AS ac FROM AL WHERE lower(alias) IN ('nation_4', 'nation_7') GROUP BY entity_id),
@@ -234,33 +234,34 @@ def context_structured(spark, sf):
 
 def served_sets(spark, sf):
     rows = fx.memories(spark, sf)
-    return rows.where("agent_id % 3 = 0").select("id", "content"), rows.where("agent_id % 2 = 0").select("id", "content")
+    return rows.where("salience > 0.5D").select("id", "content"), rows.where("memory_type = 'Semantic'").select("id", "content")
 
 
-@query("delta_sets", f"{W_M} SELECT id, CASE WHEN agent_id % 3 <> 0 THEN 'added' WHEN agent_id % 2 <> 0 THEN 'removed' ELSE 'unchanged' END AS status FROM M WHERE agent_id % 3 = 0 OR agent_id % 2 = 0")
+@query("delta_sets", f"{W_M} SELECT id, CASE WHEN salience <= 0.5 THEN 'added' WHEN memory_type <> 'Semantic' THEN 'removed' ELSE 'unchanged' END AS status FROM M WHERE salience > 0.5 OR memory_type = 'Semantic'")
 def delta_sets(spark, sf):
     return context.delta(*served_sets(spark, sf))
 
 
-@query("delta_text", f"""{W_M}, S AS (SELECT id, content, id % 3 AS k FROM M WHERE id < 30)
-SELECT string_agg('[NEW] ' || content, chr(10) ORDER BY id) FILTER (k = 0) || chr(10) || '[REMOVED] ' || count(*) FILTER (k = 1) || ' memories no longer relevant' || chr(10) || '[UNCHANGED] ' || count(*) FILTER (k = 2) || ' memories from previous turn' AS delta FROM S""")
+@query("delta_text", f"""{W_MV}, {Q.format(0)}, P AS (SELECT id FROM MV, q ORDER BY list_cosine_similarity(embedding, e) DESC, id LIMIT 50), N AS (SELECT id, content FROM MV, q ORDER BY list_cosine_similarity(embedding, e) DESC, id LIMIT 80)
+SELECT sha256((SELECT string_agg('[NEW] ' || content, chr(10) ORDER BY id) FROM N WHERE id NOT IN (SELECT id FROM P)) || chr(10) || '[UNCHANGED] 50 memories from previous turn') AS delta""")
 def delta_text(spark, sf):
-    rows = fx.memories(spark, sf).where("id < 30").select("id", "content")
-    return context.delta_text(context.delta(rows.where("id % 3 <> 0"), rows.where("id % 3 <> 1")), rows)
+    rows, q = fx.vector_memories(spark, sf), vector_of(spark, sf)
+    served = [retrieval.knn(rows, q, k, clamped=False) for k in (50, 80)]
+    return context.delta_text(context.delta(*served), rows).select(F.sha2("delta", 256).alias("delta"))
 
 
-@query("context_prefix", f"""{SCORED}, L AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n, score, substr(content, 1, 60) AS c FROM K), T AS (SELECT id, n, n || '. ' || c || ' (score ' || printf('%.3f', score) || ')' AS line FROM L),
-U AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY n) - 1 AS used FROM T) SELECT id, CAST(n AS INTEGER) AS n, substr(line, 1, 2000) AS line FROM U WHERE used <= 2000 OR n = 1""")
+@query("context_prefix", f"""{SCORED}, L AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS n, score, content AS c FROM K), T AS (SELECT id, n, n || '. ' || c || ' (score ' || printf('%.3f', score) || ')' AS line FROM L),
+U AS (SELECT *, sum(length(line) + 1) OVER (ORDER BY n) - 1 AS used FROM T) SELECT id, CAST(n AS INTEGER) AS n, substr(line, 1, 50000) AS line FROM U WHERE used <= 50000 OR n = 1""")
 def context_prefix(spark, sf):
-    return context.bounded_list(scored(spark, sf).withColumn("content", F.substring("content", 1, 60)), 2000)
+    return context.bounded_list(scored(spark, sf), 50_000)
 
 
-@query("session_headers", f"""{SCORED}, R AS (SELECT row_number() OVER (ORDER BY created_at_us, id) AS pos, 's' || (id // 20) AS session, CAST(id AS VARCHAR) AS d, substr(content, 1, 30) AS c FROM K)
+@query("session_headers", f"""{SCORED}, R AS (SELECT row_number() OVER (ORDER BY created_at_us, id) AS pos, 's' || (id // 20) AS session, CAST(id AS VARCHAR) AS d, content AS c FROM K)
 SELECT CAST(pos AS INTEGER) AS pos, CASE WHEN lag(session) OVER (ORDER BY pos) IS DISTINCT FROM session THEN '--- [Session: ' || session || '] ---' || chr(10) ELSE '' END || '[' || row_number() OVER (ORDER BY pos) || '] [' || d || '] ' || c AS line FROM R""")
 def session_headers(spark, sf):
     k = scored(spark, sf)
     pos = F.row_number().over(Window.orderBy("created_at_us", "id"))
-    return context.session_headers(k.select(pos.alias("pos"), F.concat(F.lit("s"), F.floor(F.col("id") / 20).cast("string")).alias("session"), F.col("id").cast("string").alias("date"), F.substring("content", 1, 30).alias("content")))
+    return context.session_headers(k.select(pos.alias("pos"), F.concat(F.lit("s"), F.floor(F.col("id") / 20).cast("string")).alias("session"), F.col("id").cast("string").alias("date"), "content"))
 
 
 # Turns: trajectories as batch windows.

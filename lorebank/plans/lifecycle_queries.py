@@ -126,7 +126,7 @@ def interference_pairs(spark, sf):
 
 
 @query("write_inference_actions", f"""{W_MV}, X AS (SELECT n.id AS nid, o.id AS oid, list_cosine_similarity(n.embedding, o.embedding) AS s, n.agent_id AS na, o.agent_id AS oa, n.content AS nc, o.content AS oc, n.created_at_us AS nt, o.created_at_us AS ot, n.memory_type AS nm, o.confidence AS ocf
-  FROM MV n JOIN MV o ON n.id <> o.id WHERE n.id < 60 AND list_cosine_similarity(n.embedding, o.embedding) > 0.25),
+  FROM MV n JOIN MV o ON n.id <> o.id WHERE n.id % 20 = 0 AND list_cosine_similarity(n.embedding, o.embedding) > 0.25),
 B AS (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY s DESC, oid) AS r FROM X)
 SELECT 'contradicts' AS action, nid AS source, oid AS target, 1.0::DOUBLE AS weight FROM B WHERE s > 0.35 AND na = oa AND nc <> oc
 UNION ALL SELECT unnest(['mark_obsolete', 'invalidate']), nid, oid, 1.0 FROM B WHERE s > 0.33 AND nt > ot
@@ -135,14 +135,14 @@ UNION ALL SELECT 'supersedes', nid, oid, 1.0 FROM B WHERE nm = 'Correction' AND
 UNION ALL SELECT 'lower_confidence', nid, oid, round(greatest(ocf * 0.5::DOUBLE, 0.1::DOUBLE), 6) FROM B WHERE nm = 'Correction' AND s > 0.28 AND r = 1""")
 def write_inference_actions(spark, sf):
     rows = fx.vector_memories(spark, sf)
-    met = lifecycle.new_against_existing(rows.where("id < 60"), rows, 0.25)
+    met = lifecycle.new_against_existing(rows.where("id % 20 = 0"), rows, 0.25)
     return lifecycle.write_inference(met, rows, 0.35, 0.33, 0.3, 0.28).select("action", "source", "target", r6("weight"))
 
 
-@query("extraction_dedupe", f"{W_MV} SELECT DISTINCT n.id FROM MV n JOIN MV o ON n.id <> o.id WHERE n.id < 60 AND list_cosine_similarity(n.embedding, o.embedding) > 0.35")
+@query("extraction_dedupe", f"{W_MV} SELECT DISTINCT n.id FROM MV n JOIN MV o ON n.id <> o.id WHERE n.id % 20 = 0 AND list_cosine_similarity(n.embedding, o.embedding) > 0.35")
 def extraction_dedupe(spark, sf):
     rows = fx.vector_memories(spark, sf)
-    return lifecycle.new_against_existing(rows.where("id < 60"), rows, 0.35).select(F.col("new_id").alias("id")).distinct()
+    return lifecycle.new_against_existing(rows.where("id % 20 = 0"), rows, 0.35).select(F.col("new_id").alias("id")).distinct()
 
 
 def cue_sql(column: str, cues) -> str:
@@ -217,9 +217,14 @@ def forget_entity_scope(spark, sf):
     return policies.forget_scope("alias", "NATION_3", fx.memories(spark, sf), links(spark, sf), aliases(spark, sf))
 
 
-@query("forget_edge_count", f"{W_E} SELECT CAST(50 AS BIGINT) AS memories, count(*) AS edges FROM E WHERE source < 50 OR target < 50")
+def labelled_ids(spark, sf):
+    """What a scope names here: the vectors of one label."""
+    return fx.table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+
+
+@query("forget_edge_count", f"{W_E}, S AS (SELECT vec_id FROM embeddings WHERE label = 3) SELECT (SELECT count(*) FROM S) AS memories, count(*) AS edges FROM E WHERE source IN (SELECT vec_id FROM S) OR target IN (SELECT vec_id FROM S)")
 def forget_edge_count(spark, sf):
-    return policies.forget_plan(spark.range(50), fx.edges(spark, sf))
+    return policies.forget_plan(labelled_ids(spark, sf), fx.edges(spark, sf))
 
 
 @query("forget_soft", f"{W_M} SELECT id, CASE WHEN agent_id = 5 THEN {NOW} ELSE valid_until_us END AS valid_until_us FROM M")
@@ -228,9 +233,9 @@ def forget_soft(spark, sf):
     return policies.forget_soft(m, policies.forget_scope("agent", 5, m), NOW).select("id", "valid_until_us")
 
 
-@query("forget_hard_edges", f"{W_E} SELECT source, target FROM E WHERE source >= 50 AND target >= 50")
+@query("forget_hard_edges", f"{W_E}, S AS (SELECT vec_id FROM embeddings WHERE label = 3) SELECT source, target FROM E WHERE source NOT IN (SELECT vec_id FROM S) AND target NOT IN (SELECT vec_id FROM S)")
 def forget_hard_edges(spark, sf):
-    return policies.forget_hard(fx.memories(spark, sf), fx.edges(spark, sf), spark.range(50))[1].select("source", "target")
+    return policies.forget_hard(fx.memories(spark, sf), fx.edges(spark, sf), labelled_ids(spark, sf))[1].select("source", "target")
 
 
 @query("forget_statement", f"{W_M} SELECT id FROM M WHERE id <> 123")
@@ -245,13 +250,13 @@ def forget_preview(spark, sf):
 
 
 @query("correction_plan", """WITH L AS (SELECT c_custkey AS memory_id, c_nationkey AS entity_id FROM customer),
-K AS (SELECT c_custkey AS correction FROM customer WHERE c_custkey >= 140 AND c_custkey < 150)
+K AS (SELECT c_custkey AS correction FROM customer WHERE c_custkey % 20 = 0)
 SELECT correction, b.memory_id AS memory, count(DISTINCT a.entity_id) AS entities FROM K JOIN L a ON correction = a.memory_id JOIN L b ON a.entity_id = b.entity_id WHERE b.memory_id < correction GROUP BY 1, 2""")
 def correction_plan(spark, sf):
     from lorebank.plans.entity_queries import links
 
     rows = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("created_at_us"))
-    return policies.correction_plan(rows.where("id >= 140 and id < 150"), links(spark, sf), rows)
+    return policies.correction_plan(rows.where("id % 20 = 0"), links(spark, sf), rows)
 
 
 @query("enrichment_edges", f"{W_E} SELECT source, target, 'Supports' AS edge_type, CASE WHEN source % 3 = 0 THEN 0.85::DOUBLE ELSE round(least(1.0::DOUBLE, weight * 1.5::DOUBLE), 6) END AS weight FROM E")
@@ -315,12 +320,13 @@ def agent_over_limit(spark, sf):
     return policies.over_limit(fx.memories(spark, sf), 100)
 
 
-@query("upsert_latest", f"{W_M}, U AS (SELECT id, content, created_at_us, 0 AS v FROM M UNION ALL SELECT id, 'new', {NOW}, 1 FROM M WHERE id % 10 = 0) SELECT id, arg_max(content, v) AS content, arg_min(created_at_us, v) AS created_at_us FROM U GROUP BY id")
+@query("upsert_latest", f"{W_M}, U AS (SELECT id, content, created_at_us, 0 AS v FROM M UNION ALL SELECT id, 'new', {NOW}, 1 FROM M WHERE memory_type = 'Correction') SELECT id, arg_max(content, v) AS content, arg_min(created_at_us, v) AS created_at_us FROM U GROUP BY id")
 def upsert_latest(spark, sf):
     from lorebank.sources.store import latest_view
 
-    m = fx.memories(spark, sf).select("id", "content", "created_at_us", F.lit(0).alias("version"))
-    new = m.where("id % 10 = 0").select("id", F.lit("new").alias("content"), F.lit(NOW).alias("created_at_us"), F.lit(1).alias("version"))
+    rows = fx.memories(spark, sf)
+    m = rows.select("id", "content", "created_at_us", F.lit(0).alias("version"))
+    new = rows.where("memory_type = 'Correction'").select("id", F.lit("new").alias("content"), F.lit(NOW).alias("created_at_us"), F.lit(1).alias("version"))
     return latest_view(m.unionByName(new)).select("id", "content", "created_at_us")
 
 

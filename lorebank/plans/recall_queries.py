@@ -65,9 +65,9 @@ def normalised_vectors(spark, sf):
     return rows.select("id", F.round(norm("embedding") * norm(normalise("embedding")), 5).alias("length"), F.size("embedding").cast("long").alias("dims"))
 
 
-@query("recall_tag_any", f"{W_M} SELECT id, memory_type FROM M WHERE list_has_any(tags, ['purchase', 'b3']) ORDER BY id LIMIT 200")
+@query("recall_tag_any", f"{W_M} SELECT id, memory_type FROM M WHERE list_has_any(tags, ['purchase', 'b3'])")
 def recall_tag_any(spark, sf):
-    return fx.memories(spark, sf).where(filters.tags_any(["purchase", "b3"])).orderBy("id").limit(200).select("id", "memory_type")
+    return fx.memories(spark, sf).where(filters.tags_any(["purchase", "b3"])).select("id", "memory_type")
 
 
 @query("recall_tag_all", f"{W_M} SELECT id, memory_type FROM M WHERE list_contains(tags, 'click') AND list_contains(tags, 'b2') ORDER BY id LIMIT 20")
