@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from lorebank.llm import decontaminate, exact_dedup, language, packing, simhash
-from lorebank.llm.common import fresh, fresh_folder
+from lorebank.llm.common import fresh, fresh_folder, remove_folder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each one's result written to the shared folder and read again.
+
+    A stage's result is deleted when the next one is written; the last one stays.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = fresh_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(out)
+        if read:
+            remove_folder(spark, read)
+        docs, read = spark.read.parquet(out), out
     return docs

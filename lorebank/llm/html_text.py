@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -129,6 +129,7 @@ def read_page(source: str) -> Page:
     page = Page()
     root = _open("html", "", 1, None)
     stack, number = [root], 1
+    held: Counter[str] = Counter()  # open elements by name
     pieces: list[str] = []
     links = linked = 0  # depth of open links, characters of link text in the block so far
     at = 0
@@ -147,7 +148,9 @@ def read_page(source: str) -> Page:
 
     def pop_to(k: int):
         nonlocal links
-        links -= sum(e.tag == "a" for e in stack[k:])
+        for e in stack[k:]:
+            held[e.tag] -= 1
+            links -= e.tag == "a"
         del stack[k:]
 
     def text(chunk: str):
@@ -171,7 +174,7 @@ def read_page(source: str) -> Page:
                 continue
             if tag not in INLINE:
                 close_block()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if held[tag] else ():
                 if stack[k].tag == tag:
                     pop_to(k)
                     break
@@ -202,6 +205,7 @@ def read_page(source: str) -> Page:
             continue
         number += 1
         stack.append(_open(tag, m[3], number, stack[-1]))
+        held[tag] += 1
         page.has_content |= stack[-1].content
         links += tag == "a"
     if at < len(source):

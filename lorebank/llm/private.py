@@ -25,6 +25,7 @@ table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -85,15 +86,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges that sorted spans cover."""
+    starts, ends = [], []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[tuple[str, str], set[tuple[int, int]]]:
     """Places of the words near each value: (value, word) -> {(start, end)}, outside of all spans."""
     out: dict[tuple[str, str], set[tuple[int, int]]] = {}
+    starts, ends = covered(spans)
+
+    def free(m: re.Match) -> bool:
+        k = bisect_left(starts, m.end())  # the ranges before k start before the word ends
+        return not k or ends[k - 1] <= m.start()
+
     for start, kind, end in spans:
         value = f"{KINDS[kind]}:{text[start:end].lower() if kind == 0 else NOT_DIGIT.sub('', text[start:end]) if kind > 1 else text[start:end]}"
         before = [m for m in TERM.finditer(text, max(0, start - REACH), start)][-NEAR_WORDS:]
         after = [m for _, m in zip(range(NEAR_WORDS), TERM.finditer(text, end, min(len(text), end + REACH)), strict=False)]
         for m in before + after:
-            if not any(a < m.end() and m.start() < b for a, _, b in spans):
+            if free(m):
                 out.setdefault((value, m[0].lower()), set()).add(m.span())
         out.setdefault((value, ""), set())  # the value itself, once per document
     return out

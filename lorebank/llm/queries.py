@@ -33,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2, F.lit(False))
     model = language.train(docs.where(~held_out))
     rows = language.identify(docs.select("doc_id", "text"), model, "language")
     return rows.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")

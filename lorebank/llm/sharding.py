@@ -23,7 +23,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebank.llm.common import durable, whole_text
+from lorebank.llm.common import durable, fresh, whole_text
 
 #: Bytes that a row costs besides its text, and rows that one task ranks inside a shard.
 ROW_BYTES = 16
@@ -74,40 +74,42 @@ def communication_matrix(sent: list[int], shards: list[int], seed: int) -> list[
 
 
 def shuffle_into_shards(rows: DataFrame, shards: int = 40, seed: int = 20240229) -> DataFrame:
-    """``rows`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
+    """``rows`` with shard (0 to shards - 1) and slot (gapless from 0 in each shard), in place of columns so named."""
     spark = rows.sparkSession
-    held = durable(rows.withColumn("_pid", F.spark_partition_id()).withColumn("_uid", F.monotonically_increasing_id()))
-    sizes = sorted((r["_pid"], r["n"]) for r in held.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    pid, uid, cuts, rank, key, run_no, start, count = (fresh(rows, x) for x in ("pid", "uid", "ends", "rank", "key", "run", "start", "n"))
+    rows = rows.drop("shard", "slot")
+    held = durable(rows.withColumn(pid, F.spark_partition_id()).withColumn(uid, F.monotonically_increasing_id()))
+    sizes = sorted(tuple(r) for r in held.groupBy(pid).agg(F.count(F.lit(1))).collect())
     total = sum(n for _, n in sizes)
     targets = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([n for _, n in sizes], targets, seed)
     ends = []
-    for (pid, _), out in zip(sizes, matrix, strict=True):
+    for (partition, _), out in zip(sizes, matrix, strict=True):
         reached, cut = 0, []
         for n in out:
             reached += n
             cut.append(reached)
-        ends.append((pid, cut))
-    ends_df = spark.createDataFrame(ends, "_pid int, _ends array<bigint>")
-    first, second = F.xxhash64(F.lit(seed), "_uid"), F.xxhash64(F.lit(seed + 1), "_uid")
-    local = Window.partitionBy("_pid").orderBy(first, "_uid")
+        ends.append((partition, cut))
+    ends_df = spark.createDataFrame(ends, f"{pid} int, {cuts} array<bigint>")
+    first, second = F.xxhash64(F.lit(seed), uid), F.xxhash64(F.lit(seed + 1), uid)
+    local = Window.partitionBy(pid).orderBy(first, uid)
     placed = (
-        held.withColumn("_rank", F.row_number().over(local))
-        .join(ends_df, "_pid")
-        .withColumn("shard", F.size(F.filter("_ends", lambda end: end < F.col("_rank"))).cast("int"))
-        .drop("_ends", "_rank", "_pid")
+        held.withColumn(rank, F.row_number().over(local))
+        .join(ends_df, pid)
+        .withColumn("shard", F.size(F.filter(cuts, lambda end: end < F.col(rank))).cast("int"))
+        .drop(cuts, rank, pid)
     )
     # The second permutation orders a shard by a random key. Leading parts of the key cut the shard
     # into runs of bounded size, so that no task ranks a whole shard.
     runs = max(1, math.ceil(total / shards / RUN_ROWS))
-    placed = placed.withColumn("_key", second).withColumn("_run", F.floor((F.col("_key").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * runs).cast("int"))
-    run = Window.partitionBy("shard", "_run").orderBy("_key", "_uid")
+    placed = placed.withColumn(key, second).withColumn(run_no, F.floor((F.col(key).cast("double") / F.lit(2.0**64) + F.lit(0.5)) * runs).cast("int"))
+    run = Window.partitionBy("shard", run_no).orderBy(key, uid)
     if runs == 1:
-        return placed.withColumn("slot", (F.row_number().over(run) - 1).cast("long")).drop("_key", "_run", "_uid")
+        return placed.withColumn("slot", (F.row_number().over(run) - 1).cast("long")).drop(key, run_no, uid)
     placed = durable(placed)
-    before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "_run").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.withColumn("slot", F.row_number().over(run) - 1).join(starts, ["shard", "_run"]).withColumn("slot", (F.col("slot") + F.col("_start")).cast("long")).drop("_key", "_run", "_uid", "_start")
+    before = Window.partitionBy("shard").orderBy(run_no).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("shard", run_no).agg(F.count(F.lit(1)).alias(count)).select("shard", run_no, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    return placed.withColumn("slot", F.row_number().over(run) - 1).join(starts, ["shard", run_no]).withColumn("slot", (F.col("slot") + F.col(start)).cast("long")).drop(key, run_no, uid, start)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

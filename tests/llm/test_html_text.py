@@ -88,6 +88,7 @@ def test_pages_without_an_article_and_broken_pages():
     assert html_text.main_text("<article><p>Cut off</p><p cla") == "Cut off"
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep text") == "deep text"
     assert len(html_text.main_text("<article>" + "<p>word.</p>" * 20_000)) == 20_000 * 6 - 1
+    assert html_text.main_text("<div>" * 30_000 + "</p></span>" * 30_000 + "<article>text</article>") == "text"
 
 
 def test_rows_keep_their_columns(spark):

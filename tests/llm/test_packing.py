@@ -56,6 +56,13 @@ def test_whole_table_is_packed_tightly(spark, sf):
     assert check(packing.pack(docs).collect(), texts) > 0.97
 
 
+def test_small_groups_pack_too(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert check(packing.pack(docs).collect(), texts) > 0.8
+
+
 def test_best_fit_decreasing_equals_a_plain_search():
     rng = random.Random(4)
     for n in (0, 1, 5, 300):

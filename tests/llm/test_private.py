@@ -51,6 +51,14 @@ def test_reported_counts_and_digests_equal_the_rules(spark, sf):
         assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == [s for s in told.split(",") if s]
 
 
+def test_texts_with_very_many_values():
+    text = "word a@b.c other 1.2.3.4 " * 20_000
+    spans = private.base_spans(text)
+    assert len(spans) == 40_000
+    found = private.near_terms(text, spans)
+    assert set(found) == {("email:a@b.c", t) for t in ("", "word", "other")} | {("ip:1.2.3.4", t) for t in ("", "word", "other")}
+
+
 def test_words_that_reveal_a_value_are_found(spark):
     secret = "zorblax met me at mail anna@x.org today about zorblax"
     texts = [f"{secret} v{k} common words here" for k in "abc"] + [f"common words here today mail about met {k}" for k in range(60)] + ["today mail bob@y.org about met"] * 3 + [None, ""]

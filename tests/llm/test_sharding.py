@@ -46,6 +46,13 @@ def test_shards_are_exact_gapless_and_random(spark, monkeypatch, run_rows):
     assert max(shard_of_copies.values()) < 20
 
 
+def test_rows_keep_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(k, k, k, k, k, k) for k in range(100)], "x long, _lb_pid long, _lb_uid long, shard long, slot long, _LB_KEY long").repartition(3)
+    out = sharding.shuffle_into_shards(rows, 7)
+    assert sorted(out.columns) == sorted(["x", "_lb_pid", "_lb_uid", "_LB_KEY", "shard", "slot"])
+    assert {(r.x, r._lb_pid, r._LB_KEY) for r in out.collect()} == {(k, k, k) for k in range(100)}
+
+
 def test_empty_table(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
