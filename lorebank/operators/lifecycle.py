@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebank.functions import text as fx
-from lorebank.functions.vectors import cosine
-from lorebank.operators.pairs import BLOCK_ROWS
+from lorebank.operators.pairs import pairs_between
 from lorebank.operators.retrieval import decay
 
 DAY_US = 86_400_000_000
@@ -123,18 +122,8 @@ def interference(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def new_against_existing(new: DataFrame, existing: DataFrame, least: float) -> DataFrame:
-    """new_id, old_id and similarity of new rows and other, existing ones above a cosine.
-
-    The vectors of the new rows are the small side: they are written in blocks that every existing row
-    is compared with; a block is at most BLOCK_ROWS vectors.
-    """
-    own = new.select(F.col("id").alias("new_id"), F.col("embedding").alias("new_v")).where(F.size("new_v") > 0)
-    count = own.count()
-    blocks = max(1, -(-count // BLOCK_ROWS))
-    packed = own.withColumn("_b", F.pmod(F.xxhash64("new_id"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("new_id", "new_v")).alias("block"))
-    old = existing.select(F.col("id").alias("old_id"), F.col("embedding").alias("old_v")).where(F.size("old_v") > 0).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = old.join(packed, "_b").select("old_id", "old_v", F.explode("block").alias("n")).select("old_id", "old_v", "n.new_id", "n.new_v").where("new_id <> old_id")
-    return met.withColumn("similarity", cosine("new_v", "old_v")).where(F.col("similarity") > least).select("new_id", "old_id", "similarity")
+    """new_id, old_id and similarity of new rows and other, existing ones above a cosine."""
+    return pairs_between(new, existing, least).toDF("new_id", "old_id", "similarity")
 
 
 def write_inference(pairs: DataFrame, rows: DataFrame, contradicts: float = CONTRADICTS_ABOVE, obsolete: float = OBSOLETE_ABOVE, related: float = RELATED_ABOVE, corrects: float = CORRECTS_ABOVE) -> DataFrame:

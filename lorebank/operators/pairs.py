@@ -47,6 +47,35 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_
     return met.groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
 
+def pairs_between(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """a (of left), b (of right) and similarity of all pairs of different ids with a cosine above the threshold.
+
+    Blocks of one side meet blocks of the other; a side that fits into one block is not repeated for itself.
+    """
+    sides = []
+    for k, rows in enumerate((left, right)):
+        own = rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(k).alias("side"))
+        sides.append((own, max(1, -(-own.count() // BLOCK_ROWS))))
+    (a, blocks_a), (b, blocks_b) = sides
+    a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
+    b = b.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "similarity": []})]
+        for _, same in part.groupby(part["v"].map(len)):
+            m = np.vstack(same["v"].to_numpy())
+            length = np.linalg.norm(m, axis=1)
+            ok = length > 0
+            ids, side, unit = same["id"].to_numpy()[ok], same["side"].to_numpy()[ok], m[ok] / length[ok, None]
+            sims = unit[side == 0] @ unit[side == 1].T
+            x, y = np.nonzero(sims > threshold)
+            found = pd.DataFrame({"a": ids[side == 0][x], "b": ids[side == 1][y], "similarity": sims[x, y]})
+            out.append(found[found["a"] != found["b"]])
+        return pd.concat([o for o in out if len(o)] or out[:1])
+
+    return a.unionByName(b).groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id and root (smallest id of its component) for every id in the pairs (a, b).
 

@@ -40,6 +40,11 @@ def query_terms(text: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", text.lower())))
 
 
+def whole(term: str) -> str:
+    """Pattern of a term that is a maximal run of letters and digits."""
+    return rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"
+
+
 def bm25(rows: DataFrame, text: str, content: str = "content") -> DataFrame:
     """id and score of the rows with every query term; rows' own statistics, higher is better.
 
@@ -49,20 +54,24 @@ def bm25(rows: DataFrame, text: str, content: str = "content") -> DataFrame:
     terms = query_terms(text)
     if not terms:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    tokens = rows.select("id", F.regexp_extract_all(F.lower(content), F.lit(f"({TOKEN})"), 1).alias("w"))
-
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == term)).cast("double")
-
-    counted = tokens.select("id", F.size("w").cast("double").alias("len"), *[frequency(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(terms))])
-    every, score = F.lit(True), F.lit(0.0)
+    lower = F.lower(content)
+
+    def holds(term: str) -> Column:
+        """The term as a whole token; the plain substring test comes first, as it is cheap."""
+        return lower.contains(term) & lower.rlike(whole(term))
+
+    length = F.regexp_count(lower, F.lit(TOKEN)).cast("double")
+    stats = rows.agg(F.count(content).cast("double").alias("n"), F.avg(length).alias("avglen"), *[F.sum(F.when(holds(t), 1.0).otherwise(0.0)).alias(f"df{i}") for i, t in enumerate(terms)])
+    matched = rows
+    for t in terms:
+        matched = matched.where(holds(t))
+    counted = matched.select("id", length.alias("len"), *[F.regexp_count(lower, F.lit(whole(t))).cast("double").alias(f"tf{i}") for i, t in enumerate(terms)])
+    score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
         score = score + idf * tf * F.lit(BM25_K1 + 1) / (tf + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("len") / F.col("avglen")))
-        every = every & (tf > 0)
-    return counted.where(every).join(F.broadcast(stats)).select("id", score.alias("score"))  # the statistics are one row
+    return counted.join(F.broadcast(stats)).select("id", score.alias("score"))  # the statistics are one row
 
 
 def ranked(rows: DataFrame, score: str = "score", key: str = "id") -> DataFrame:

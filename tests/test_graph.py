@@ -92,6 +92,8 @@ def test_pairs_and_components(spark, monkeypatch, block):
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if unit[i] @ unit[j] > 0.8}
     got = pairs.similar_pairs(rows, 0.8)
     assert {(r.a, r.b) for r in got.collect()} == want and want
+    between = pairs.pairs_between(rows.where("id % 2 = 0"), rows, 0.8)
+    assert {(r.a, r.b) for r in between.collect()} == {p for i, j in want for p in ((i, j), (j, i)) if p[0] % 2 == 0}
     root = {i: i for e in want for i in e}
     for _ in range(50):
         for a, b in want:
