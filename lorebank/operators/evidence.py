@@ -47,7 +47,7 @@ def evidence_rows(rows: DataFrame, before_us: int | None = None) -> DataFrame:
     dated = has_tag_prefix("date:")
     if before_us is not None:
         own = own.where((F.col("created_at_us") <= before_us) | dated)
-    day = F.date_format(F.to_timestamp(F.timestamp_micros("created_at_us")), "yyyy-MM-dd")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_at_us") / 86_400_000_000).cast("int")).cast("string")
     own = own.withColumn("session", F.coalesce(tag_value("session:"), F.lit(""))).withColumn("date", F.coalesce(tag_value("date:"), day))
     sessions = rows.select(tag_value("session:").alias("s")).where("s is not null").agg(F.count_distinct("s").alias("n_sessions"))
     own = own.join(F.broadcast(sessions))  # one row

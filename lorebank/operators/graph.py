@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,35 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int, kinds: Sequence[str] | N
     return out
 
 
+def dfs(edges: DataFrame, start, depth: int) -> DataFrame:
+    """id and depth in the order of a depth-first walk that takes neighbours in id order.
+
+    The walk marks a node at its first visit, so a depth may not be the least one, and what is only
+    reachable in time by a shorter way seen later is missed. It is sequential by nature and runs in one
+    task, on the part of the graph that the start reaches within the depth.
+    """
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["source"]
+    root = spark.range(1).select(F.lit(start).cast(kind).alias("id")).join(nodes(edges), "id", "left_semi")
+    near = subgraph_edges(edges.select("source", "target"), bfs(edges, root, depth)).distinct()
+    near = near.unionByName(root.select(F.col("id").alias("source"), F.col("id").alias("target")))  # a known start without edges
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        after = part.sort_values("target", ascending=False).groupby("source")["target"].agg(list).to_dict()
+        seen, out, stack = set(), [], [(start, 0)]
+        while stack:
+            node, d = stack.pop()
+            if node in seen:
+                continue
+            seen.add(node)
+            out.append((node, d, len(out)))
+            if d < depth:
+                stack += [(x, d + 1) for x in after.get(node, []) if x not in seen]
+        return pd.DataFrame(out, columns=["id", "depth", "place"])
+
+    return near.withColumn("part", F.lit(1)).groupBy("part").applyInPandas(walk, f"id {kind}, depth int, place int")
+
+
 def subgraph_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """Edges whose two endpoints were reached."""
     ids = reached.select("id")

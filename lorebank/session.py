@@ -88,6 +88,41 @@ class Lorebank:
         self._log(df.select(F.col("id").alias("memory_id")), "store", now)
         return [r[0] for r in rows]
 
+    def store_with_source(self, content: str, source_type: str, conversation_id: str | None = None, turn_id: str | None = None, actor_id: str | None = None, **fields) -> str:
+        """Store one memory and where it came from."""
+        memory_id = self.store(content, **fields)
+        row = self.spark.createDataFrame([(memory_id, source_type, conversation_id, turn_id, actor_id, time.time_ns() // 1000)], "memory_id string, source_type string, conversation_id string, turn_id string, actor_id string, created_at_us long")
+        self.tables.derived["sources"].upsert(row)
+        return memory_id
+
+    def index_entities(self) -> None:
+        """Entities, aliases and links extracted from all memories, replacing what a memory had before."""
+        found = durable(entities.structured_entities(self.memories()))
+        key = F.concat_ws(":", "entity_type", F.lower("canonical"))
+        self.tables.derived["entities"].upsert(found.groupBy(key.alias("entity_id")).agg(F.min("entity_type").alias("entity_type"), F.min("canonical").alias("canonical"), F.max("confidence").alias("confidence")))
+        self.tables.derived["aliases"].upsert(found.select(key.alias("entity_id"), F.explode(F.array("canonical", F.lower("canonical"))).alias("alias"), "confidence").groupBy("entity_id", "alias").agg(F.max("confidence").alias("confidence")))
+        self.tables.derived["memory_entities"].replace(found.select(F.col("id").alias("memory_id"), key.alias("entity_id"), "role", "confidence"), by="memory_id")
+
+    def entity_boost(self, text: str) -> DataFrame:
+        """id and boost of the memories that a question's entities lead to."""
+        t = self.tables.derived
+        hit = entities.matched_aliases(self.spark, text, t["aliases"].rows())
+        return entities.recall_boost(hit, t["memory_entities"].rows(), relationships=t["relationships"].rows())
+
+    def search_traced(self, text: str, k: int = 10, trace_id: str | None = None, retain: int = 200) -> DataFrame:
+        """A hybrid search whose ranks are kept; the newest ``retain`` traces stay."""
+        now, trace_id = time.time_ns() // 1000, trace_id or str(uuid.uuid4())
+        hits = retrieval.trace_rows(retrieval.hybrid(self.memories(), self._vector(text, None), text, k, trace=True), trace_id, now)
+        header = self.spark.createDataFrame([(trace_id, text, k, retrieval.OVERFETCH * k, now)], "trace_id string, query_text string, k int, fetch_k int, created_at_us long")
+        t = self.tables.derived
+        t["traces"].upsert(header)
+        t["trace_hits"].upsert(hits.withColumnRenamed("id", "memory_id"))
+        old = t["traces"].rows().join(retrieval.retain(t["traces"].rows(), retain).select("trace_id"), "trace_id", "left_anti").select("trace_id")
+        if not old.isEmpty():
+            t["trace_hits"].delete(durable(old))
+            t["traces"].delete(durable(old))
+        return t["trace_hits"].rows().where(F.col("trace_id") == trace_id).orderBy("rank")
+
     def store_turn(self, user: str, assistant: str, **fields) -> tuple[str, str]:
         """A user's and an assistant's turn as two memories with an edge between them."""
         a, b = self.store_many([{"content": f"User: {user}", "tags": ["turn", "turn:user"], **fields}, {"content": f"Assistant: {assistant}", "tags": ["turn", "turn:assistant"], **fields}])
@@ -122,6 +157,7 @@ class Lorebank:
             gone = policies.touching(self.edges(), hit.select("id"))
             self.tables.edges.append(gone.select(*[f.name for f in EDGE.fields]), deleted=True)
             self.tables.memories.append(hit, deleted=True)
+            self.tables.cascade(hit.select("id"))
         elif n:
             self.update(hit.withColumn("valid_until_us", F.lit(now)), "forgotten", "forget", now)
         self._log(hit.select(F.col("id").alias("memory_id")) if not hard else self.spark.createDataFrame([(value,)], "memory_id string"), "forget", now)

@@ -6,6 +6,7 @@ whose newest row is a tombstone. A commit is one directory that Spark's committe
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebank import types
 from lorebank.types import EDGE, LIFECYCLE, MEMORY, OPERATION
 
 VERSION, DELETED = "version", "deleted"
@@ -51,14 +53,73 @@ class Log:
         rows.select(*columns, F.lit(time.time_ns() // 1000 if version is None else version).cast("long").alias(VERSION), F.lit(deleted).alias(DELETED)).write.mode("append").parquet(self.path)
 
 
+class KeyedTable(Log):
+    """A table whose rows are replaced by key: the newest row of a key counts."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, schema: T.StructType, key: tuple[str, ...]):
+        super().__init__(spark, folder, name, schema)
+        self.key = key
+
+    def rows(self) -> DataFrame:
+        """One row per key, by a grouped maximum; tombstones are dropped."""
+        log = self.read()
+        rest = [c for c in log.columns if c not in (*self.key, VERSION)]
+        best = log.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("r"))
+        out = best.select(*self.key, *[F.col(f"r.{c}").alias(c) for c in rest])
+        return out.where(~F.coalesce(F.col(DELETED), F.lit(False))).drop(DELETED).select(*[f.name for f in self.schema.fields[:-2]])
+
+    def upsert(self, rows: DataFrame, version: int | None = None) -> None:
+        self.append(rows, version)
+
+    def delete(self, keys: DataFrame, version: int | None = None) -> None:
+        """Tombstones for all rows that agree with ``keys`` on its columns."""
+        self.append(self.rows().join(keys.distinct(), keys.columns, "left_semi"), version, deleted=True)
+
+    def replace(self, rows: DataFrame, by: str, version: int | None = None) -> None:
+        """Replace all rows with the values of one column that ``rows`` has, as one bundle."""
+        now = time.time_ns() // 1000 if version is None else version
+        self.delete(rows.select(by), now)
+        self.append(rows, now + 1)
+
+
+#: Name, schema and key of the derived layer's tables.
+DERIVED = (
+    ("sources", types.SOURCE, ("memory_id", "source_type")), ("entities", types.ENTITY, ("entity_id",)), ("aliases", types.ALIAS, ("entity_id", "alias")), ("memory_entities", types.MEMORY_ENTITY, ("memory_id", "entity_id", "role")),
+    ("claims", types.CLAIM, ("claim_id",)), ("claim_evidence", types.CLAIM_EVIDENCE, ("claim_id", "memory_id")), ("relationships", types.RELATIONSHIP, ("relationship_id",)), ("policy_runs", types.POLICY_RUN, ("run_id",)),
+    ("policy_actions", types.POLICY_ACTION, ("run_id", "memory_id", "action")), ("extraction_runs", types.EXTRACTION_RUN, ("run_id",)), ("traces", types.TRACE, ("trace_id",)), ("trace_hits", types.TRACE_HIT, ("trace_id", "rank")), ("snapshots", types.SNAPSHOT, ("name",)),
+)
+#: Tables whose rows go with a memory, and the column that names it.
+DEPENDENT = (("sources", "memory_id"), ("memory_entities", "memory_id"), ("claim_evidence", "memory_id"))
+
+
 class Tables:
-    """The logs of one store: memories, edges, operations and lifecycle events."""
+    """The logs of one store: memories, edges, operations, lifecycle events and the derived layer."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.memories = Log(spark, folder, "memories", MEMORY)
         self.edges = Log(spark, folder, "edges", EDGE)
         self.operations = Log(spark, folder, "operations", OPERATION)
         self.lifecycle = Log(spark, folder, "lifecycle", LIFECYCLE)
+        self.derived = {name: KeyedTable(spark, folder, name, schema, key) for name, schema, key in DERIVED}
+
+    def cascade(self, ids: DataFrame) -> None:
+        """Remove what depends on forgotten memories (column id)."""
+        for name, column in DEPENDENT:
+            self.derived[name].delete(ids.select(F.col("id").alias(column)))
+
+    def save_snapshot(self, name: str, body: dict, format_version: int) -> None:
+        spark = self.memories.spark
+        row = spark.createDataFrame([(name, format_version, json.dumps(body, sort_keys=True), time.time_ns() // 1000)], types.SNAPSHOT)
+        self.derived["snapshots"].upsert(row)
+
+    def load_snapshot(self, name: str, newest_version: int) -> dict | None:
+        """The body of a snapshot; None if there is none, an error if a newer format wrote it."""
+        row = self.derived["snapshots"].rows().where(F.col("name") == name).head()
+        if row is None:
+            return None
+        if row.format_version > newest_version:
+            raise ValueError(f"snapshot {name} has format {row.format_version}, this reads up to {newest_version}")
+        return json.loads(row.body_json)
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:

@@ -67,6 +67,26 @@ LIFECYCLE = T.StructType(
     ]
 )
 
+def _table(**columns: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in columns.items()])
+
+
+# Tables of the derived layer and of the logs beside it.
+SOURCE = _table(memory_id="string", source_type="string", conversation_id="string", turn_id="string", actor_id="string", observed_at_us="long", extractor="string", prompt_hash="string", payload_json="string", created_at_us="long")
+ENTITY = _table(entity_id="string", entity_type="string", canonical="string", confidence="double", attributes="string", created_at_us="long")
+ALIAS = _table(entity_id="string", alias="string", confidence="double")
+MEMORY_ENTITY = _table(memory_id="string", entity_id="string", role="string", confidence="double", evidence="string")
+CLAIM = _table(claim_id="string", subject_id="string", object_id="string", predicate="string", status="string", confidence="double", valid_from_us="long", valid_until_us="long", created_at_us="long")
+CLAIM_EVIDENCE = _table(claim_id="string", memory_id="string", span_start="long", span_stop="long", confidence="double")
+RELATIONSHIP = _table(relationship_id="string", source="string", target="string", relation_type="string", status="string", confidence="double", valid_from_us="long", valid_until_us="long")
+POLICY_RUN = _table(run_id="string", policy="string", mode="string", status="string", scope_json="string", created_at_us="long")
+POLICY_ACTION = _table(run_id="string", action="string", memory_id="string", status="string", before_json="string", after_json="string", created_at_us="long")
+EXTRACTION_RUN = _table(run_id="string", extractor="string", model="string", prompt_hash="string", conversation_id="string", status="string", output_json="string", created_at_us="long")
+TRACE = _table(trace_id="string", query_text="string", k="int", fetch_k="int", config_json="string", created_at_us="long")
+TRACE_HIT = _table(trace_id="string", rank="int", memory_id="string", score="double", vector_rank="int", bm25_rank="int", salience="double")
+SNAPSHOT = _table(name="string", format_version="int", body_json="string", created_at_us="long")
+
 EXTRACTION = T.StructType(
     [
         T.StructField("memories", T.ArrayType(T.StructType([

@@ -62,6 +62,25 @@ def test_traversals(spark, seed):
     assert got == {k: round(v, 6) for k, v in plain_belief(rows, 0, 0.4).items()}
 
 
+def plain_dfs(rows, start, depth):
+    seen, stack = {}, [(start, 0)]
+    while stack:
+        x, d = stack.pop()
+        if x in seen:
+            continue
+        seen[x] = d
+        if d < depth:
+            stack += [(b, d + 1) for b in sorted({b for a, b, *_ in rows if a == x}, reverse=True)]
+    return list(seen.items())
+
+
+def test_depth_first(spark):
+    rows = random_edges(3)
+    got = graph.dfs(make(spark, rows), 0, 3).orderBy("place").collect()
+    assert [(r.id, r.depth) for r in got] == plain_dfs(rows, 0, 3)
+    assert graph.dfs(make(spark, rows), 99, 3).count() == 0
+
+
 def test_cycles(spark):
     edges = make(spark, [(a, b, "Caused", 1.0, 0, None, None) for a, b in [(1, 2), (2, 3), (3, 1), (3, 4), (4, 3), (5, 6)]])
     assert sorted(r.cycle for r in graph.detect_cycles(edges).collect()) == [[1, 2, 3], [3, 4]]

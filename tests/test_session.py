@@ -73,6 +73,27 @@ def test_turns_entities_and_extraction(spark, bank):
     assert not bank.needs_enrichment(0) and bank.communities().count() == 0
 
 
+def test_derived_layer(spark, bank):
+    a = bank.store_with_source("Company: Acme and Beta", "conversation", "c1", "t1")
+    b = bank.store("Company: Acme")
+    t = bank.tables.derived
+    assert t["sources"].rows().head().conversation_id == "c1"
+    bank.index_entities()
+    bank.index_entities()
+    assert sorted(r.canonical for r in t["entities"].rows().collect()) == ["Acme", "Beta"]
+    assert t["memory_entities"].rows().count() == 3
+    assert {r.id for r in bank.entity_boost("what about acme?").collect()} == {a, b}
+    bank.forget(a)
+    assert t["memory_entities"].rows().count() == 1 and t["sources"].rows().count() == 0
+    for k in range(3):
+        hits = bank.search_traced("acme", 2, f"t{k}", retain=2)
+    assert [r.rank for r in hits.collect()] == [0] and {r.trace_id for r in t["traces"].rows().collect()} == {"t1", "t2"}
+    bank.tables.save_snapshot("x", {"a": 1}, 2)
+    assert bank.tables.load_snapshot("x", 2) == {"a": 1} and bank.tables.load_snapshot("y", 2) is None
+    with pytest.raises(ValueError):
+        bank.tables.load_snapshot("x", 1)
+
+
 def test_json_and_bank_files(spark, tmp_path):
     assert tolerant_json('x {bad} {"a": "}", "a": 2} y') == {"a": 2} and tolerant_json("none") == {}
     path = tmp_path / "bank.json"
