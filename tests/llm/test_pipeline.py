@@ -35,3 +35,30 @@ def test_an_empty_table_passes_through(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_equals_a_plain_version(spark, sf):
+    """All stages over a whole table against plain Python, from texts to the ids of the pieces."""
+    import zlib
+
+    import numpy as np
+    from test_decontaminate import plain as plain_hits
+    from test_packing import plain_tokenizer
+    from test_simhash import slow_components, slow_fingerprint
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(k, t) for k, t in rows if t and any(c.isalpha() for c in t)]
+    groups = {}
+    for k, t in rows:
+        groups.setdefault("".join(t.split()), []).append((-len(t), k, t))
+    rows = sorted((k, t) for _, k, t in map(min, groups.values()))
+    first = slow_components([slow_fingerprint(t) for _, t in rows])
+    rows = [r for i, r in enumerate(rows) if first[i] == i]
+    rows = [(k, t) for k, t in rows if not plain_hits(t, items)[3]]
+    tokenizer, want = plain_tokenizer(), set()
+    for k, t in rows:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want |= {(k, at, zlib.crc32(ids[at : at + 2048].tobytes())) for at in range(0, len(ids), 2048)}
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in got} == want and len(got) == len(want)
