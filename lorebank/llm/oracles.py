@@ -67,3 +67,14 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> holder THEN holder END AS refers_to
 FROM g
 """
+
+# The generated pages hold one article each, with paragraphs, headings and inline tags; on them the general
+# extractor has to give what this plain reading gives.
+ORACLES["op10_html_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS art FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex(art, '</?(?:p|h1)>'), lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks
+  FROM a)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(blocks, chr(10)), '')) AS BIGINT) AS n_chars FROM b
+"""
