@@ -57,13 +57,14 @@ def evidence_rows(rows: DataFrame, before_us: int | None = None) -> DataFrame:
 def near_duplicate_evidence(rows: DataFrame, order: Sequence[str] = ("date", "id")) -> DataFrame:
     """Rows without those that repeat an earlier one: equal first 100 bytes, lengths within a tenth.
 
-    Rows meet by prefix; within a prefix the earlier rows' lengths are compared by a fold that keeps the
-    lengths which stay.
+    Of one prefix and length only the earliest row can stay, which a grouped minimum finds before rows
+    meet by prefix; a fold over the lengths of a prefix keeps those which stay.
     """
     size = F.octet_length("content")
     key = F.substring(F.encode("content", "UTF-8"), 1, PREFIX_BYTES)
     item = F.struct(*order, size.alias("size"), F.col("id").alias("_id"))
-    grouped = rows.select(key.alias("k"), item.alias("x")).groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    firsts = rows.select(key.alias("k"), size.alias("s"), item.alias("x")).groupBy("k", "s").agg(F.min("x").alias("x"))
+    grouped = firsts.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("xs"))
 
     def step(acc: Column, x: Column) -> Column:
         close = F.exists(acc, lambda y: F.abs(y["size"] - x["size"]) * 10 <= F.greatest(y["size"], x["size"]))

@@ -84,6 +84,22 @@ def test_greedy_budget_skips_and_goes_on(spark):
     assert context.assemble_delta(rows.where("id < 3"), rows, header="H").head()[0].startswith("H\n\n## 📋 Primary Context\n- [NEW] Semantic | x")
 
 
+def test_greedy_budget_equals_a_plain_fill(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0.1, 0.5, 0.9, rng.random()]), " ".join("w" * rng.choice([0, 1, 1, 2, 3, 5, 8, 20, 60]))) for i in range(400)]
+    df = spark.createDataFrame(rows + [(400, 0.2, None)], "id long, score double, content string")
+    for budget in (0, 1, 7, 40, 333):
+        left, want = budget, {400}
+        for i, _, text in sorted(rows, key=lambda r: (-r[1], r[0])):
+            cost = math.ceil(len(text.split()) * 1.3)
+            if cost <= left:
+                left -= cost
+                want.add(i)
+        assert {r.id for r in context.fill_budget(df, budget).collect()} == want
+
+
 def test_write_inference_rules(spark):
     rows = spark.sql("""SELECT * FROM VALUES (1L, array(1.0f, 0.0f), 'Semantic', 'a', 'old', 1L, 0.8D), (2L, array(1.0f, 0.01f), 'Semantic', 'a', 'new', 2L, 0.8D), (3L, array(1.0f, 0.9f), 'Correction', 'b', 'fix', 3L, 0.1D)
       t(id, embedding, memory_type, agent_id, content, created_at_us, confidence)""")
