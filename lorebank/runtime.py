@@ -25,16 +25,21 @@ def session(app: str = "lorebank", cpus: int | str = "*", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's; a local one is set only where there is none and everything runs in
-    one JVM.
+    A local one is set only where there is none and everything runs in one JVM.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not (spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()):
-        if not context.master.startswith("local") or "cluster" in context.master:
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lorebank-"))
+    if named := spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir():
+        return named.rstrip("/")
+    if not context.master.startswith("local") or "cluster" in context.master:
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    context.setCheckpointDir(folder := tempfile.mkdtemp(prefix="lorebank-"))
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
