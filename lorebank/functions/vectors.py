@@ -48,7 +48,8 @@ def cosine_to(a: Column | str, query: Sequence[float]) -> Column:
     for i, x in enumerate(q):
         own = F.get(a, F.lit(i)).cast("double")
         inner, square = inner + own * F.lit(x), square + own * own
-    return F.when((F.size(a) == len(q)) & (square > 0), inner / (F.sqrt(square) * F.lit(q_norm))).otherwise(F.lit(0.0))
+    # Each sum stands in the expression once; a zero norm makes the quotient null.
+    return F.when(F.size(a) == len(q), F.coalesce(F.try_divide(inner, F.sqrt(square) * F.lit(q_norm)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def normalise(a: Column | str) -> Column:
