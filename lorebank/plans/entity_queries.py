@@ -177,7 +177,7 @@ def zone_tokens(spark, sf):
     return context.blocks(scored(spark, sf))
 
 
-@query("zone_allocation", "SELECT * FROM (VALUES ('Opening', 409), ('Critical', 1024), ('Primary', 1433), ('Supporting', 819), ('Closing', 409)) t(zone, tokens)")
+@query("zone_allocation", "SELECT zone, CAST(tokens AS BIGINT) AS tokens FROM (VALUES ('Opening', 409), ('Critical', 1024), ('Primary', 1433), ('Supporting', 819), ('Closing', 409)) t(zone, tokens)")
 def zone_allocation(spark, sf):
     return context.zone_allocation(spark, 4096)
 

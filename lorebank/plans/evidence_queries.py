@@ -91,9 +91,9 @@ def active_gaps(spark, sf):
     return ev.unresolved(gaps)
 
 
-@query("follow_up_words", r"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: strlen(w) > 3 AND regexp_matches(w, '^\p{Lu}') AND w NOT IN (""" + ", ".join(f"'{w}'" for w in signals.NOT_NAMES) + r""")))) [1:10] AS names FROM documents""")
+@query("follow_up_words", r"""SELECT doc_id, array_to_string((list_sort(list_distinct(list_filter(list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: strlen(w) > 3 AND regexp_matches(w, '^\p{Lu}') AND w NOT IN (""" + ", ".join(f"'{w}'" for w in signals.NOT_NAMES) + r"""))))) [1:10], ' ') AS names FROM documents""")
 def follow_up_words(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", signals.follow_up_words("text").alias("names"))
+    return fx.table(spark, sf, "documents").select("doc_id", F.array_join(signals.follow_up_words("text"), " ").alias("names"))
 
 
 @query("embedding_keys", "SELECT p_partkey AS id, p_name || ' [entities: ' || p_brand || ', ' || p_type || ']' || CASE WHEN p_size % 2 = 0 THEN ' [topics: ' || p_type || ']' ELSE '' END AS key FROM part")

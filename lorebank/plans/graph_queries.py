@@ -81,7 +81,7 @@ def superseded_chain(spark, sf):
     return graph.bfs(fx.edges(spark, sf), ids(spark, 5), 24, kinds=["Supersedes"]).where("depth > 0").select("id")
 
 
-@query("shortest_path_len", bfs_sql("SELECT CAST(0 AS BIGINT) AS id", 12) + " SELECT depth AS hops FROM B WHERE id = 100")
+@query("shortest_path_len", bfs_sql("SELECT CAST(0 AS BIGINT) AS id", 12) + " SELECT CAST(depth AS BIGINT) AS hops FROM B WHERE id = 100")
 def shortest_path_len(spark, sf):
     path = graph.shortest_path(fx.edges(spark, sf), 0, 100)
     return spark.range(1).select(F.lit(None if path is None else len(path) - 1).cast("long").alias("hops")).where("hops is not null")

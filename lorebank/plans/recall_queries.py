@@ -105,9 +105,9 @@ def recall_space(spark, sf):
     return mql.run(r'RECALL WHERE space = 2 AND salience < 0.01', engine(spark, sf, False)).select("id", "space_id")
 
 
-@query("point_lookup", f"{W_M} SELECT id, agent_id, memory_type, content, created_at_us, tags FROM M WHERE id = 77")
+@query("point_lookup", f"{W_M} SELECT id, agent_id, memory_type, content, created_at_us, array_to_string(tags, ',') AS tags FROM M WHERE id = 77")
 def point_lookup(spark, sf):
-    return fx.memories(spark, sf).where("id = 77").select("id", "agent_id", "memory_type", "content", "created_at_us", "tags")
+    return fx.memories(spark, sf).where("id = 77").select("id", "agent_id", "memory_type", "content", "created_at_us", F.array_join("tags", ",").alias("tags"))
 
 
 @query("count_all", f"{W_M} SELECT count(*) AS n FROM M")
