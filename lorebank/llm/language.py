@@ -11,8 +11,9 @@ strings that were seen are tabulated per order, with one column a language; the
 scored by looking up a hash table for the longest order, and only bytes whose string was never seen in
 any language go on to shorter orders.
 
-The sample: at most SAMPLE_DOCS distinct texts a language, of at most SAMPLE_BYTES each, taken whole
-by the order of a hash of the text. It bounds the model; prediction reads every text whole.
+The sample: at most SAMPLE_DOCS distinct texts a language, and fewer where so many languages would take
+more than SAMPLE_TOTAL in all (but one at least), of at most SAMPLE_BYTES each, taken whole by the order
+of a hash of the text. It bounds the model; prediction reads every text whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything when
 no labelled text exists; ties go to the language that sorts first; repeated rows get equal results;
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 SAMPLE_DOCS = 400
+SAMPLE_TOTAL = 4000
 SAMPLE_BYTES = 65_536
 #: Bytes that are scored at once, which bounds a worker's memory.
 PIECE = 1 << 20
@@ -204,11 +206,12 @@ def training_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts)))
     # A hash below the cut keeps about twice the sample of each language (all of it, if it is small).
-    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * SAMPLE_DOCS + 200) / max(1, n)))])
+    cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * most + 200) / max(1, n)))])
     near = rows.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= F.element_at(cut, F.col("lang")))
     few = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
     out: dict[str, list[str]] = {}
     for r in ranked.select("lang", "text").collect():
         out.setdefault(r.lang, []).append(r.text)

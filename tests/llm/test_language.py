@@ -65,6 +65,15 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 5)
+    docs = spark.createDataFrame([(f"{lang} text {k % 40}", lang) for lang in "abcd" for k in range(60)] + [("x" * 70_000, "a")], "text string, lang string")
+    sample = language.training_sample(docs)
+    assert {lang: len(set(t)) for lang, t in sample.items()} == dict.fromkeys("abcd", 5) and all(len(t) == 5 for t in sample.values())
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 8)
+    assert {lang: len(t) for lang, t in language.training_sample(docs).items()} == dict.fromkeys("abcd", 2)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "aa", 1), ("", "aa", 1), ("123 !?", None, 1), ("abab", "aa", 1), ("abab", "aa", 1), ("cdcd", None, 1), ("cd dc", "cc", 1)], "text string, lang string, lang_pred int")
     model = language.train(docs)
