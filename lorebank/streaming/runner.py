@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 
 from lorebank.runtime import shared_folder
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextlib.contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that keyed state with lists and maps needs, for queries started inside."""
-    before = spark.conf.get(PROVIDER_KEY)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB)
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings for the queries started inside; names have __ for dots."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k) for k in names}
     try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(PROVIDER_KEY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -32,18 +34,21 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
     """All rows that a stream emits until its input is used up, with the number of their batch.
 
-    Each batch overwrites its own folder, so a batch that is run again after a failure counts once.
+    Keyed state with lists and maps needs the RocksDB store. State has a fixed number of partitions,
+    which adaptive execution cannot merge: one per core unless told otherwise. Each batch overwrites
+    its own folder, so a batch that is run again after a failure counts once.
     """
     spark = stream.sparkSession
+    partitions = partitions or spark.sparkContext.defaultParallelism
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    with rocksdb(spark):
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__shuffle__partitions=str(partitions)):
         running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         running.awaitTermination()
     if running.exception() is not None:
