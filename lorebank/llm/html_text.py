@@ -53,6 +53,7 @@ BOILERPLATE_WORDS = {
     "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "reader",
     "widget", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "dialog", "form", "paywall", "teaser", "teasers", "trending", "popular", "skip",
 }
+LAYOUT_WORDS = {"has", "with", "no", "without", "layout", "open", "closed"}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -113,7 +114,9 @@ def _open(tag: str, attributes: str, number: int, parent: Element | None) -> Ele
         e.content = True
     elif words & CONTENT_WORDS and tag != "body":
         e.named = True
-    if (tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS) and tag not in ("html", "body"):
+    # A name like has-sidebar or comments-open tells of the layout around, not of the element.
+    named_boilerplate = words & BOILERPLATE_WORDS and not words & LAYOUT_WORDS
+    if (tag in BOILERPLATE_TAGS or named_boilerplate) and tag not in ("html", "body"):
         e.boilerplate = e.boilerplate or number
     if tag == "header" or "header" in words and tag not in HEADINGS:
         e.header = True

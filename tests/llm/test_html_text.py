@@ -80,6 +80,11 @@ def test_a_page_with_every_kind_of_boilerplate():
     assert html_text.main_text(PAGE).split("\n") == ["The big story", "First paragraph with bold, a link and a reference—done.", "Second<tag> paragraph after a break.", "Point one", "Point two", "Short.", "Quoted words."]
 
 
+def test_layout_names_do_not_hide_the_article():
+    page = "<body class='home'><div class='page has-sidebar'><article class='post comments-open'><p>The text of the article.</p></article><div class='sidebar'><p>Other things to read.</p></div></div></body>"
+    assert html_text.main_text(page) == "The text of the article."
+
+
 def test_pages_without_an_article_and_broken_pages():
     plain = "<html><body><div class=menu><a href=1>One</a> <a href=2>Two</a></div><div><p>Some real text of the page, with several words in it.</p><p>And more of it.</p></div></body></html>"
     assert html_text.main_text(plain) == "Some real text of the page, with several words in it.\nAnd more of it."
