@@ -42,6 +42,8 @@ DISTANCE = 4
 POSITIONS = 8
 #: Positions that agree at least in a linked pair.
 AGREE = POSITIONS - DISTANCE
+#: Ids of removed documents that are sent to the executors, 16 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Shingles whose bits are counted at once, and list lengths up to which all pairs are compared.
 BLOCK = 1 << 15
 SHORT = 8
@@ -189,12 +191,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays.
 
-    Rows without a doc_id cannot be named as anyone's duplicate and stay.
+    Rows without a doc_id cannot be named as anyone's duplicate and stay. Whole rows meet only the ids
+    that go: up to BROADCAST_IDS of them are sent to the rows, more are joined by a shuffle. If an id
+    repeats among the rows that stay, whole rows are ranked by id as well, and one of them stays.
     """
-    near = near_duplicates(docs, id_col, text_col, size)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rank = fresh(docs, "rank")
+    near = near_duplicates(docs, id_col, text_col, size).where(F.col("doc_id").isNotNull())
+    gone = durable(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    repeats = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     key = F.col(id_col).cast("long")
-    named = docs.where(key.isNotNull()).alias("d").join(kept.alias("k"), F.col(f"d.{id_col}").cast("long") == F.col("k.doc_id"), "left_semi")
-    one = named.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank)
-    return one.unionByName(docs.where(key.isNull()))
+    left = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").cast("long") == F.col("g.doc_id"), "left_anti")
+    if repeats.isEmpty():
+        return left
+    rank = fresh(docs, "rank")
+    one = left.where(key.isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank)
+    return one.unionByName(left.where(key.isNull()))

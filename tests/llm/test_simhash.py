@@ -52,7 +52,7 @@ def test_spark_hash_is_the_same(spark):
     assert all(r.h % 2**64 == xxhash.xxh64_intdigest(r.t.encode(), 42) for r in rows)
 
 
-def test_near_duplicates_equal_brute_force(spark):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.choices(WORDS, k=300) for _ in range(12)]
     texts = list(ODD)
@@ -67,9 +67,11 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(docs).collect()}
     fps = [slow_fingerprint(t) for t in texts]
     assert got == {k: (f, c) for k, (f, c) in enumerate(zip(fps, slow_components(fps), strict=True))}
-    kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components(fps)))
+    for most in (0, simhash.BROADCAST_IDS):
+        monkeypatch.setattr(simhash, "BROADCAST_IDS", most)
+        kept = simhash.keep_representatives(docs)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_components(fps)))
 
 
 @pytest.mark.parametrize("size", [2, 5, 9, 400])
