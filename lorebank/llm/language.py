@@ -36,7 +36,7 @@ SAMPLE_DOCS = 400
 SAMPLE_TOTAL = 4000
 SAMPLE_BYTES = 65_536
 #: Bytes that are scored at once, which bounds a worker's memory.
-PIECE = 1 << 20
+PIECE = 1 << 17
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
