@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebank.functions.text import normalise_name, query_ngrams
+from lorebank.operators.pairs import pairs_within
 
 # Weights of the recall boost, and the most rows a hop takes per entity.
 ALIAS_WEIGHT, CLAIM_WEIGHT, EVIDENCE_WEIGHT, RELATED_WEIGHT, HOP_LIMIT = 1.0, 0.9, 1.0, 0.6, 32
@@ -124,13 +125,9 @@ def structured_entities(rows: DataFrame) -> DataFrame:
     return one.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_ENTITIES).select("id", F.col("x.canonical").alias("canonical"), "entity_type", F.col("x.role").alias("role"), "confidence")
 
 
-def shared_entity_pairs(links: DataFrame, edges: DataFrame, most: int = HOP_LIMIT) -> DataFrame:
-    """Memories of one entity that no edge joins yet: a star to the entity's surest memory and pairs
-    among its ``most`` surest links, so a very common entity adds links in proportion to its size."""
-    w = Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "memory_id")
-    own = links.select("entity_id", "memory_id", "confidence").distinct().withColumn("r", F.row_number().over(w))
-    a, b = own.where(F.col("r") <= most).select("entity_id", F.col("memory_id").alias("x"), F.col("r").alias("rx")), own.select("entity_id", F.col("memory_id").alias("y"), F.col("r").alias("ry"))
-    pairs = a.join(b, "entity_id").where("rx < ry and (ry <= {0} or rx = 1) and x <> y".format(most)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def shared_entity_pairs(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """All pairs of memories that share an entity and that no edge joins yet."""
+    pairs = pairs_within(links, "entity_id", "memory_id").select("a", "b").distinct()
     linked = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     return pairs.join(linked, ["a", "b"], "left_anti")
 

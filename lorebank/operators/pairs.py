@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lorebank.runtime import durable
 
 BLOCK_ROWS = 2048
+SHARES = 16
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -76,6 +77,18 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float, id_col: s
     return a.unionByName(b).groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
 
+def pairs_within(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """key, a and b: every pair a < b of the ids that share a key, once for each key.
+
+    A key's left rows are dealt to SHARES parts, so that no task makes all pairs of a large key.
+    """
+    own = rows.select(key, F.col(id_col).alias("a")).distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = own.withColumn("_share", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int")).repartition(parts, key, "_share")
+    right = own.select(key, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")).repartition(parts, key, "_share")
+    return left.join(right, [key, "_share"]).where("a < b").select(key, "a", "b")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id and root (smallest id of its component) for every id in the pairs (a, b).
 
