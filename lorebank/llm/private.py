@@ -4,18 +4,19 @@ Four kinds of values are found by pattern in whole texts, leftmost and without o
 e-mail addresses, IP addresses (parts up to 255), card numbers (12 to 19 digits, Luhn) and phone
 numbers (9 to 15 digits). A match that fails its test is dropped and not tried again.
 
-Information-theoretic sanitisation then looks for words that reveal a protected value c. A word t near
-c (NEAR_WORDS to either side, within REACH characters) discloses the share
+Information-theoretic sanitisation then looks for words that reveal a protected value c. A word t in a
+text with c discloses the share
 
     PMI(t; c) / IC(c) = log(N n(t,c) / (n(t) n(c))) / log(N / n(c))
 
-of c's information content, with document counts over all N documents: n(c) with the value, n(t) with
-the word anywhere, n(t,c) with the word near the value. At GENERALISE or more the word is generalised,
-at REMOVE or more it is removed. One text proves nothing, so a word and a value count only if they meet
-in at least two different texts.
+of c's information content, with document counts over whole texts and all N documents: n(c) with the
+value, n(t) with the word, n(t,c) with both. At GENERALISE or more the word is generalised, at REMOVE or
+more it is removed, wherever it stands outside of values, in every document. One text proves nothing, so
+a word and a value count only if they meet in at least two different texts; values of one text alone are
+therefore left out before words are paired with values.
 
-The counts of words cover all documents. Candidate words reach the executors as a set while there are
-at most BROADCAST_TERMS; beyond that the words of all documents are counted by a shuffle.
+Candidate words, repeated values and disclosing words reach the executors as sets while there are at most
+BROADCAST_TERMS of each; beyond that they meet the documents by shuffles, with equal results.
 
 Defined cases: null texts count as empty; ties and repeated rows are separate documents, and equal
 texts never add evidence of their own; a value in every document has no content to disclose; an empty
@@ -37,7 +38,6 @@ from lorebank.llm.common import durable, fresh, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
-NEAR_WORDS, REACH = 8, 200
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 300_000
 
@@ -98,86 +98,141 @@ def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[tuple[str, str], set[tuple[int, int]]]:
-    """Places of the words near each value: (value, word) -> {(start, end)}, outside of all spans."""
-    out: dict[tuple[str, str], set[tuple[int, int]]] = {}
-    starts, ends = covered(spans)
+def value_of(text: str, start: int, kind: int, end: int) -> str:
+    """A span's value, in one spelling."""
+    own = text[start:end]
+    return f"{KINDS[kind]}:{own.lower() if kind == 0 else NOT_DIGIT.sub('', own) if kind > 1 else own}"
+
 
-    def free(m: re.Match) -> bool:
+def words_of(text: str) -> set[str]:
+    """The distinct words of a whole text."""
+    return {w.lower() for w in set(TERM.findall(text))}
+
+
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """All words outside of the spans."""
+    starts, ends = covered(spans)
+    for m in TERM.finditer(text):
         k = bisect_left(starts, m.end())  # the ranges before k start before the word ends
-        return not k or ends[k - 1] <= m.start()
+        if not k or ends[k - 1] <= m.start():
+            yield m
+
+
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> dict[tuple[str, str], set[tuple[int, int]]]:
+    """Places of the words in a text with each value: (value, word) -> {(start, end)}, outside of all spans."""
+    places: dict[str, set[tuple[int, int]]] = {"": set()}  # the value itself, once per document
+    for m in free_words(text, spans):
+        places.setdefault(m[0].lower(), set()).add(m.span())
+    return {(v, w): p for v in {value_of(text, *s) for s in spans} for w, p in places.items()}
+
+
+def _values(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted({value_of(t, *s) for s in base_spans(t)}) for t in texts], dtype=object)
+
 
-    for start, kind, end in spans:
-        value = f"{KINDS[kind]}:{text[start:end].lower() if kind == 0 else NOT_DIGIT.sub('', text[start:end]) if kind > 1 else text[start:end]}"
-        before = [m for m in TERM.finditer(text, max(0, start - REACH), start)][-NEAR_WORDS:]
-        after = [m for _, m in zip(range(NEAR_WORDS), TERM.finditer(text, end, min(len(text), end + REACH)), strict=False)]
-        for m in before + after:
-            if free(m):
-                out.setdefault((value, m[0].lower()), set()).add(m.span())
-        out.setdefault((value, ""), set())  # the value itself, once per document
-    return out
+def _word_places(texts: pd.Series) -> pd.Series:
+    return pd.Series([[{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in free_words(t, base_spans(t))] for t in texts], dtype=object)
 
 
-FOUND = "base array<struct<start:long,kind:int,end:long>>, near array<struct<value:string,term:string,places:array<struct<start:long,end:long>>>>"
+PLACES = "array<struct<term:string,start:long,end:long>>"
 
 
-def _find(texts: pd.Series) -> pd.DataFrame:
-    """Pattern spans and the words near them, for a batch of texts."""
-    base, near = [], []
-    for t in texts:
-        spans = base_spans(t)
-        base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-        found = near_terms(t, spans) if spans else {}
-        near.append([{"value": v, "term": w, "places": [{"start": a, "end": b} for a, b in sorted(p)]} for (v, w), p in sorted(found.items())])
-    return pd.DataFrame({"base": base, "near": near})
+def small_set(rows: DataFrame) -> list | None:
+    """The rows, if there are at most BROADCAST_TERMS."""
+    known = rows.limit(BROADCAST_TERMS + 1).collect()
+    return known if len(known) <= BROADCAST_TERMS else None
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n: documents whose whole text has the word, for each row of ``terms`` (distinct, column term)."""
-    known = terms.limit(BROADCAST_TERMS + 1).collect()
-    if not known:
-        return terms.select("term", F.lit(0).cast("long").alias("n"))
-    if len(known) > BROADCAST_TERMS:
+    known = small_set(terms)
+    if known is None:
         words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(r"(\p{L}{3,})"), 1))
         return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi")
+    if not known:
+        return terms.select("term", F.lit(0).cast("long").alias("n"))
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in known))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, counts = shared.value, Counter()
         for batch in batches:
             for text in batch.iloc[:, 0]:
-                counts.update(wanted.intersection(TERM.findall(text.lower())))
+                counts.update(wanted & words_of(text))
         yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())}).astype({"term": "string", "n": "int64"})
 
     return docs.select(whole_text(text_col).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """key and n: how many rows, of keys with at least two different text_hash."""
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("h0"), F.max("text_hash").alias("h1"))
+    return counts.where(F.col("h0") < F.col("h1")).select(*key, "n")
+
+
+def met_pairs(docs: DataFrame, values: DataFrame, text_col: str = "text") -> DataFrame:
+    """value, term and n_tc of the words that meet a value of ``values`` (column value) in two different texts."""
+    known = small_set(values.select("value"))
+    wanted = docs.sparkSession.sparkContext.broadcast(None if known is None else frozenset(r.value for r in known))
+
+    @F.pandas_udf("struct<v:array<string>,w:array<string>>")
+    def meet(texts: pd.Series) -> pd.DataFrame:
+        found, terms = [], []
+        for t in texts:
+            spans = base_spans(t)
+            own = {value_of(t, *s) for s in spans}
+            if wanted.value is not None:
+                own &= wanted.value
+            found.append(sorted(own))
+            terms.append(sorted({m[0].lower() for m in free_words(t, spans)}) if own else [])
+        return pd.DataFrame({"v": found, "w": terms})
+
+    text = whole_text(text_col)
+    met = docs.select(F.xxhash64(text).alias("text_hash"), meet(text).alias("x")).where(F.size("x.v") > 0)
+    met = met.select("text_hash", "x.w", F.explode("x.v").alias("value"))
+    if known is None:
+        met = met.join(values.select("value"), "value", "left_semi")
+    return repeated(met.select("text_hash", "value", F.explode("w").alias("term")), "value", "term").withColumnRenamed("n", "n_tc")
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """value, term, disclosure of every word at GENERALISE or more."""
-    total = found.count()
-    pairs = found.select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.value", "x.term")
-    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_tc"), F.min("text_hash").alias("h0"), F.max("text_hash").alias("h1"))
-    pairs = durable(pairs.where((F.col("term") == "") | (F.col("h0") < F.col("h1"))).drop("h0", "h1"))
-    values = pairs.where(F.col("term") == "").select("value", F.col("n_tc").alias("n_c"))
-    pairs = pairs.where(F.col("term") != "")
+    total, text = docs.count(), whole_text(text_col)
+    found = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.pandas_udf(_values, "array<string>")(text)).alias("value"))
+    # A value in every document has no content to disclose.
+    values = durable(repeated(found, "value").withColumnRenamed("n", "n_c").where(F.col("n_c") < total))
+    pairs = durable(met_pairs(docs, values, text_col))
     seen = document_frequency(docs, pairs.select("term").distinct(), text_col).withColumnRenamed("n", "n_t")
     log_share = F.log(F.lit(float(total)) * F.col("n_tc") / (F.greatest("n_t", "n_tc") * F.col("n_c")))
     content = F.log(F.lit(float(total)) / F.col("n_c"))
-    scored = pairs.join(values, "value").join(seen, "term").withColumn("disclosure", F.when(F.col("n_c") < total, log_share / content).otherwise(0.0))
+    scored = pairs.join(values, "value").join(seen, "term").withColumn("disclosure", log_share / content)
     return scored.where(F.col("disclosure") >= GENERALISE).select("value", "term", "disclosure")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, base (array of start, kind, end) and terms (array of start, end, disclosure)."""
     text = whole_text(text_col)
-    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.pandas_udf(_find, FOUND)(text).alias("f"))
-    found = durable(found.select("doc_id", "text_hash", "f.*").withColumn("uid", F.monotonically_increasing_id()))
-    risky = disclosing_terms(docs, found, text_col)
-    places = found.select("uid", F.explode("near").alias("x")).select("uid", "x.value", "x.term", "x.places").join(risky, ["value", "term"])
-    places = places.select("uid", F.explode("places").alias("p"), "disclosure").groupBy("uid", "p.start", "p.end").agg(F.max("disclosure").alias("disclosure"))
-    by_doc = places.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")
-    return found.join(by_doc, "uid", "left").select("doc_id", "uid", "base", F.coalesce("terms", none).alias("terms"))
+    risky = durable(disclosing_terms(docs, text_col).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    known = small_set(risky)
+    shared = docs.sparkSession.sparkContext.broadcast({r.term: r.disclosure for r in known or []})
+
+    @F.pandas_udf("base array<struct<start:long,kind:int,end:long>>, terms array<struct<start:long,end:long,disclosure:double>>")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        base, terms, score = [], [], shared.value
+        for t in texts:
+            spans = base_spans(t)
+            base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
+            hit = score and not score.keys().isdisjoint(words_of(t))
+            terms.append([{"start": m.start(), "end": m.end(), "disclosure": score[w]} for m in free_words(t, spans) if (w := m[0].lower()) in score] if hit else [])
+        return pd.DataFrame({"base": base, "terms": terms})
+
+    found = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("key"), find(text).alias("f")).select("doc_id", "key", "f.*")
+    if known is None:  # places depend on the text alone, so equal texts share them
+        places = docs.select(F.sha2(F.encode(text, "UTF-8"), 256).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+        places = places.select("key", F.explode(F.pandas_udf(_word_places, PLACES)("text")).alias("p")).select("key", "p.*").join(risky, "term")
+        by_text = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+        none = F.array().cast("array<struct<start:long,end:long,disclosure:double>>")
+        found = found.drop("terms").join(by_text, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.select("doc_id", "base", "terms")
 
 
 def joined(spans: Column) -> Column:
@@ -222,6 +277,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    hits = found.where(F.size("base") > 0).select(F.col("doc_id").alias(uid), F.struct("base", "terms").alias(spans))
+    hits = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias(uid), F.struct("base", "terms").alias(spans))
     clean = rows.join(hits, uid, "left").withColumn(text_col, F.when(F.col(spans).isNotNull(), replaced(F.col(text_col), F.col(f"{spans}.base"), F.col(f"{spans}.terms"))).otherwise(F.col(text_col)))
     return clean.select(*docs.columns)
