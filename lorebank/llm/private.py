@@ -130,6 +130,10 @@ def _values(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted({value_of(t, *s) for s in base_spans(t)}) for t in texts], dtype=object)
 
 
+def _words(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(words_of(t)) for t in texts], dtype=object)
+
+
 def _word_places(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in free_words(t, base_spans(t))] for t in texts], dtype=object)
 
@@ -147,8 +151,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     """term, n: documents whose whole text has the word, for each row of ``terms`` (distinct, column term)."""
     known = small_set(terms)
     if known is None:
-        words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text(text_col)), F.lit(r"(\p{L}{3,})"), 1))
-        return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi")
+        return docs.select(F.explode(F.pandas_udf(_words, "array<string>")(whole_text(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi")
     if not known:
         return terms.select("term", F.lit(0).cast("long").alias("n"))
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in known))

@@ -19,3 +19,13 @@ def test_words_far_from_a_value_are_marked_everywhere(spark, monkeypatch, most):
     assert marked(docs, texts) == {0: ["quibnox"] * 2, 1: ["quibnox"] * 2, 2: ["quibnox"] * 2, len(TEXTS): ["quibnox"]}
     clean = {r.doc_id: r.text or "" for r in private.sanitise(docs).collect()}
     assert not any("quibnox" in t for t in clean.values()) and clean[10] == texts[10]
+
+
+def test_both_ways_of_counting_split_words_alike(spark, monkeypatch):
+    texts = ["abc² xyzⅷ 二〇二四年 foo_bar1 ÄÖÜ", "abc xyz 二四年 İstanbul Straße", "ABC² abc²"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([(w,) for w in sorted({w for t in texts for w in private.words_of(t)})], "term string")
+    some = {r.term: r.n for r in private.document_frequency(docs, terms).collect()}
+    assert some["abc²"] == 2 and some["abc"] == 1 and set(some.values()) == {1, 2}
+    monkeypatch.setattr(private, "BROADCAST_TERMS", 1)
+    assert {r.term: r.n for r in private.document_frequency(docs, terms).collect()} == some
