@@ -91,17 +91,10 @@ def part_of_edges(rows: DataFrame, entities: DataFrame, now_us: int) -> DataFram
     return met.select(F.col("id").alias("source"), F.col("entity_id").alias("target"), F.lit("PartOf").alias("edge_type"), F.lit(PART_OF_WEIGHT).alias("weight"), F.col("relation").alias("label"), F.lit(now_us).alias("created_at_us"))
 
 
-def category_edges(entities: DataFrame, most: int = 32) -> DataFrame:
-    """Related edges between entities of one category.
-
-    All pairs among a category's first ``most`` entities; the rest hang on the first, so a very large
-    category stays one connected group without a pair for every two members.
-    """
-    own = entities.select("entity_id", F.explode(categories(F.col("category"))).alias("c")).distinct()
-    own = own.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("entity_id")))
-    a = own.where(F.col("r") <= most).select("c", F.col("entity_id").alias("source"), F.col("r").alias("ra"))
-    b = own.select("c", F.col("entity_id").alias("target"), F.col("r").alias("rb"))
-    met = a.join(b, "c").where((F.col("ra") < F.col("rb")) & ((F.col("rb") <= most) | (F.col("ra") == 1)))
+def category_edges(entities: DataFrame) -> DataFrame:
+    """Related edges between all pairs of entities of one category."""
+    own = entities.select("entity_id", F.explode(categories(F.col("category"))).alias("c"))
+    met = pairs.pairs_within(own, "c", "entity_id").withColumnsRenamed({"a": "source", "b": "target"})
     return met.select("source", "target", F.lit("Related").alias("edge_type"), F.lit(CATEGORY_WEIGHT).alias("weight"), F.concat(F.lit("same_category:"), F.replace("c", F.lit(" "), F.lit("_"))).alias("label"))
 
 

@@ -1,6 +1,6 @@
 """Operators give every row, also where a group is large."""
 
-from lorebank.operators import entities
+from lorebank.operators import entities, extraction
 
 
 def test_entity_links_hold_every_pair(spark):
@@ -10,3 +10,11 @@ def test_entity_links_hold_every_pair(spark):
     want = {(a, b) for own in members.values() for a in own for b in own if a < b} - {(36, 38), (0, 39)}
     got = [(r.a, r.b) for r in entities.shared_entity_pairs(links, edges).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_category_edges_hold_every_pair(spark):
+    rows = spark.createDataFrame([(k, "Tool, big one" if k % 2 else "tool") for k in range(50)] + [(77, None)], "entity_id long, category string")
+    got = [(r.source, r.target, r.label) for r in extraction.category_edges(rows).collect()]
+    want = {(a, b, "same_category:tool") for a in range(50) for b in range(a + 1, 50)}
+    want |= {(a, b, "same_category:big_one") for a in range(1, 50, 2) for b in range(a + 2, 50, 2)}
+    assert len(got) == len(want) and set(got) == want
