@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
@@ -231,5 +231,15 @@ def identify(docs: DataFrame, model: Model, out_col: str = "language", text_col:
     return docs.withColumn(out_col, predicted(F.col(text_col)))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([isinstance(t, str) and LETTER.search(t) is not None for t in texts], dtype=bool)
+
+    return found(text)
+
+
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     return Model(training_sample(labelled, lang_col, text_col))
