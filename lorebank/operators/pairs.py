@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebank.functions.text import words
 from lorebank.runtime import durable
 
 BLOCK_ROWS = 2048
 SHARES = 16
+TOPIC_WORDS = 5
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -116,6 +118,25 @@ def cluster_stats(pairs: DataFrame, roots: DataFrame, rows: DataFrame, least_siz
     return sizes.join(links, "root").where(F.col("size") >= least_size)
 
 
+def cluster_candidates(roots: DataFrame, rows: DataFrame, least_size: int = 2) -> DataFrame:
+    """root, size, avg_similarity over all pairs of members, and topic: the first words of the first member.
+
+    The cosines of all pairs sum to (|sum u|^2 - sum |u|^2) / 2 over unit vectors u of one length; a zero
+    vector, or vectors of different lengths, have cosine 0. ``rows``: id, embedding, content.
+    """
+    members = roots.join(rows.select("id", F.col("embedding").cast("array<double>").alias("v"), "content"), "id")
+    size = F.count(F.lit(1))
+    groups = members.groupBy("root").agg(size.alias("size"), F.min_by("content", "id").alias("content")).where(F.col("size") >= least_size)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    units = members.select("root", F.size("v").alias("dim"), "v", length.alias("length")).where("length > 0")
+    parts = units.select("root", "dim", "length", F.posexplode("v").alias("pos", "x")).withColumn("u", F.col("x") / F.col("length"))
+    sums = parts.groupBy("root", "dim", "pos").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
+    doubled = sums.groupBy("root").agg(F.sum(F.col("s") * F.col("s") - F.col("q")).alias("doubled"))
+    n = F.col("size").cast("double")
+    mean = F.when(F.col("size") < 2, 1.0).otherwise(F.coalesce("doubled", F.lit(0.0)) / (n * (n - 1)))
+    return groups.join(doubled, "root", "left").select("root", "size", mean.alias("avg_similarity"), F.array_join(F.slice(words("content"), 1, TOPIC_WORDS), " ").alias("topic"))
+
+
 def mean_embedding(rows: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
     """Per key and dimension the mean of the vectors, scaled to unit length: key, pos, value."""
     means = rows.select(key, F.posexplode(vector_col).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -183,6 +183,16 @@ def cluster_stats(spark, sf):
     return pairs.cluster_stats(links, pairs.components(links), rows).select("root", "size", F.round("confidence", 6).alias("confidence"), "links", F.round("mean_similarity", 6).alias("mean_similarity"))
 
 
+@query("cluster_candidates", f"""{COMPONENTS}, S AS (SELECT root, count(*) AS size FROM C GROUP BY root),
+A AS (SELECT x.root, avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS m FROM C x JOIN C y ON x.root = y.root AND x.id < y.id JOIN embeddings a ON a.vec_id = x.id JOIN embeddings b ON b.vec_id = y.id GROUP BY x.root)
+SELECT root, size, round(m, 6) AS avg_similarity, array_to_string(list_filter(string_split_regex(text, '[ \\t\\r\\n\\f\\x0b]+'), lambda w: w <> '')[1:5], ' ') AS topic FROM S JOIN A USING (root) LEFT JOIN documents ON doc_id = root""")
+def cluster_candidates(spark, sf):
+    texts = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    rows = vectors(spark, sf).join(texts, "id", "left")
+    roots = pairs.components(pairs.similar_pairs(rows, 0.4))
+    return pairs.cluster_candidates(roots, rows).select("root", "size", F.round("avg_similarity", 6).alias("avg_similarity"), "topic")
+
+
 @query("mean_embedding", """WITH X AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), M AS (SELECT label, pos, avg(x) AS m FROM X GROUP BY label, pos)
 SELECT CAST(label AS BIGINT) AS label, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM M""")
 def mean_embedding(spark, sf):

@@ -1,6 +1,6 @@
 """Operators give every row, also where a group is large."""
 
-from lorebank.operators import entities, extraction
+from lorebank.operators import entities, extraction, pairs
 
 
 def test_entity_links_hold_every_pair(spark):
@@ -18,3 +18,13 @@ def test_category_edges_hold_every_pair(spark):
     want = {(a, b, "same_category:tool") for a in range(50) for b in range(a + 1, 50)}
     want |= {(a, b, "same_category:big_one") for a in range(1, 50, 2) for b in range(a + 2, 50, 2)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_mean_similarity_of_a_chain_covers_all_pairs(spark):
+    rows = [(1, [1.0, 0.0], "a b  c d e f"), (2, [3.0, 3.0], "x"), (3, [0.0, 1.0], "y"), (4, [0.0, 0.0], None), (5, [1.0], "z")]
+    rows = spark.createDataFrame(rows, "id long, embedding array<double>, content string")
+    links = pairs.similar_pairs(rows, 0.5)
+    (r,) = pairs.cluster_candidates(pairs.components(links), rows).collect()
+    assert (r.root, r.size, r.topic) == (1, 3, "a b c d e") and abs(r.avg_similarity - 2**0.5 / 3) < 1e-12  # below the threshold
+    (r,) = pairs.cluster_candidates(rows.selectExpr("id", "1L AS root"), rows).collect()
+    assert r.size == 5 and abs(r.avg_similarity - 2**0.5 / 10) < 1e-12
