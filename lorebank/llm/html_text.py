@@ -35,11 +35,15 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names by how they are read.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"}
-DROPPED = {"head", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist", "map"}
+DROPPED = {"head", "template", "select", "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
     "br", "img", "input", "wbr", "embed", "area", "param", "source", "track", "link", "meta", "base",
+    # Embedded content: its formulas, labels and fallback texts belong to the block around.
+    "audio", "canvas", "map", "object", "video",
+    "math", "annotation", "annotation-xml", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics",
+    "svg", "circle", "clippath", "defs", "desc", "ellipse", "foreignobject", "g", "image", "line", "lineargradient", "marker", "mask", "path", "pattern", "polygon", "polyline", "radialgradient", "rect", "stop", "symbol", "text", "textpath", "tspan", "use",
 }
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"},
