@@ -11,6 +11,11 @@ the bytes at three positions. Every 4 positions contain one of 20 triples (Turan
 20 lists a fingerprint lose no pair. Inside a list the shared positional bytes of a pair are tallied,
 pairs short of 4 are let go, and the rest are verified by the exact bit count.
 
+A list of more than LONG fingerprints is split. Its linked pairs agree at one position more, so it becomes
+one list for each byte at each of the 5 other positions. Where even that is long, the 4 bytes that are left
+differ in at most 4 of their 8 half bytes, and the same 20 triples, of half bytes now, split it once more;
+the 20 bits then left bound any list by their number of values.
+
 Only distinct fingerprints are indexed, so copies cost nothing. A list is searched outward from one
 fingerprint at a time, against those not reached yet: a crowd of near copies is left as soon as it is
 connected, and at most one link per fingerprint leaves a list, not all pairs. Components are found on
@@ -19,7 +24,8 @@ the links in a distributed way.
 Defined cases: null and blank texts have fingerprint zero and link like any other; equal fingerprints
 are one group; a row with a null doc_id gets the component of its fingerprint, or null if no row with
 that fingerprint has an id; repeated rows get equal results; an empty table gives an empty result;
-extra columns are not read by ``near_duplicates`` and are kept by ``keep_representatives``.
+extra columns are not read by ``near_duplicates`` and are kept by ``keep_representatives``, which removes
+rows by id and fingerprint together, so rows of one id with unlike texts never answer for each other.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ AGREE = POSITIONS - DISTANCE
 BROADCAST_IDS = 500_000
 #: Shingles whose bits are counted at once, and list lengths up to which all pairs are compared.
 BLOCK = 1 << 15
+#: Fingerprints in a posting list from which it is split by further positions.
+LONG = 2000
 SHORT = 8
 
 
@@ -102,6 +110,15 @@ def triples() -> list[tuple[int, ...]]:
     return [t for t in combinations(range(POSITIONS), 3) if counts(t)]
 
 
+def _bits(fp: Column, shift: Column, mask: int) -> Column:
+    return F.call_function("shiftrightunsigned", fp, shift.cast("int")).bitwiseAND(mask)
+
+
+def _table(rows: list) -> Column:
+    """A literal array, of arrays where its entries are sequences."""
+    return F.array(*[_table(list(r)) if isinstance(r, tuple) else F.lit(r) for r in rows])
+
+
 def posting_keys(fp: Column) -> Column:
     """Keys of the posting lists of a fingerprint: the triple's number and the three bytes there."""
 
@@ -111,6 +128,25 @@ def posting_keys(fp: Column) -> Column:
     return F.array(*[F.lit(n << 24) + byte(i) * (1 << 16) + byte(j) * (1 << 8) + byte(k) for n, (i, j, k) in enumerate(triples())])
 
 
+def split_by_position(lists: DataFrame) -> DataFrame:
+    """Lists by three positions (key, fp, node) as lists by four: part (the positions' number) and key (their bytes)."""
+    fours = list(combinations(range(POSITIONS), AGREE))
+    of_triple = [tuple(n for n, four in enumerate(fours) if set(t) <= set(four)) for t in triples()]
+    parts = lists.withColumn("part", F.explode(F.get(_table(of_triple), F.shiftright("key", 24).cast("int"))))
+    at = F.get(_table(fours), F.col("part"))
+    bytes_there = [_bits(F.col("fp"), F.get(at, F.lit(k)) * 8, 255) * (1 << 8 * k) for k in range(AGREE)]
+    return parts.select(((F.col("part").cast("long") + 1) * (1 << 32) + sum(bytes_there)).alias("key"), "fp", "node")
+
+
+def split_by_half_bytes(lists: DataFrame) -> DataFrame:
+    """Lists by four positions as lists by these and three of the eight half bytes elsewhere."""
+    fours = list(combinations(range(POSITIONS), AGREE))
+    shifts = [tuple(8 * p + 4 * half for p in range(POSITIONS) if p not in four for half in (0, 1)) for four in fours]
+    own = F.get(_table(shifts), F.shiftright("key", 32).cast("int") - 1)
+    of_triple = [F.lit((n + 1) << 12) + sum(_bits(F.col("fp"), F.get(own, F.lit(h)), 15) * (1 << 4 * k) for k, h in enumerate(t)) for n, t in enumerate(triples())]
+    return lists.select(F.explode(F.array(*of_triple)).alias("part"), "key", "fp", "node").select((F.col("part") * (1 << 40) + F.col("key")).alias("key"), "fp", "node")
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs link: enough positional bytes in common, then few enough bits that differ."""
     differ = np.atleast_1d(a ^ b)
@@ -175,35 +211,64 @@ def links_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of distinct fingerprints (fp, node) that connect all linked ones."""
-    postings = nodes.select(F.explode(posting_keys(F.col("fp"))).alias("key"), "fp", "node")
-    return postings.repartition("key").sortWithinPartitions("key").mapInPandas(links_of_lists, "a long, b long")
+    lists = nodes.select(F.explode(posting_keys(F.col("fp"))).alias("key"), "fp", "node")
+    parts = []
+    for split in (split_by_position, split_by_half_bytes):
+        long = durable(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("key"))
+        if long.isEmpty():
+            break
+        parts.append(lists.join(long, "key", "left_anti"))
+        lists = durable(split(lists.join(long, "key", "left_semi")))
+    for part in parts:
+        lists = lists.unionByName(part)
+    return lists.repartition("key").sortWithinPartitions("key").mapInPandas(links_of_lists, "a long, b long")
+
+
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id and fp of every row, computed once."""
+    return durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_col, size).alias("fp")))
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, fp) with component_id, the smallest doc_id that their fingerprint reaches, and group, a
+    number that no two components share (they may share an id)."""
+    # Nodes are numbers of fingerprints, not ids: one id may have several fingerprints.
+    names = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).where(F.col("id").isNotNull()).withColumn("number", F.monotonically_increasing_id()))
+    labels = connected_components(fingerprint_links(names.select("fp", F.col("number").alias("node"))))
+    grouped = names.join(labels, names["number"] == labels["node"], "left").select("fp", "id", F.coalesce("component", "number").alias("group"))
+    classes = grouped.join(grouped.groupBy("group").agg(F.min("id").alias("component_id")), "group").select("fp", "group", "component_id")
+    return rows.join(classes, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    rows = durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_col, size).alias("fp")))
-    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where(F.col("node").isNotNull()))
-    labels = connected_components(fingerprint_links(nodes))
-    classes = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = classified(fingerprinted(docs, id_col, text_col, size))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays.
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest doc_id stays,
+    of several such rows the one with the smallest fingerprint.
 
-    Rows without a doc_id cannot be named as anyone's duplicate and stay. Whole rows meet only the ids
-    that go: up to BROADCAST_IDS of them are sent to the rows, more are joined by a shuffle. If an id
-    repeats among the rows that stay, whole rows are ranked by id as well, and one of them stays.
+    A row is known by its id and a hash of its text. Rows without a doc_id cannot be named as anyone's
+    duplicate and stay. Whole rows meet only the keys that go: up to BROADCAST_IDS of them are sent to the
+    rows, more are joined by a shuffle. Where id and text repeat among the rows that stay, those rows are
+    ordered by all their columns, and the first one stays.
     """
-    near = near_duplicates(docs, id_col, text_col, size).where(F.col("doc_id").isNotNull())
-    gone = durable(near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    key, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    rows = durable(docs.select(key.alias("doc_id"), fingerprints(text_col, size).alias("fp"), text_hash.alias("text_hash")))
+    near = classified(rows).where(F.col("doc_id").isNotNull())
+    own = F.struct("doc_id", "fp", "text_hash")
+    judged = near.join(near.groupBy("group").agg(F.min(own).alias("first")), "group")
+    other_id, other_hash, rank = (fresh(docs, x) for x in ("id", "hash", "rank"))
+    same, names = (key == F.col(other_id)) & (text_hash == F.col(other_hash)), (F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash))
+    gone = durable(judged.where(own != F.col("first")).select(*names).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    repeats = near.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    key = F.col(id_col).cast("long")
-    left = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").cast("long") == F.col("g.doc_id"), "left_anti")
+    left = docs.join(gone, same, "left_anti")
+    repeats = durable(judged.where(own == F.col("first")).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*names))
     if repeats.isEmpty():
         return left
-    rank = fresh(docs, "rank")
-    one = left.where(key.isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank)
-    return one.unionByName(left.where(key.isNull()))
+    order = Window.partitionBy(key, text_hash).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = left.join(repeats, same, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return one.unionByName(left.join(repeats, same, "left_anti"))
