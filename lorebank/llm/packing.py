@@ -8,7 +8,9 @@ size, and groups pack independently.
 
 Token ids come from the vocabulary that the tokenizer file holds. Its ranks, as the companion
 ``.tiktoken`` file, give the same ids several times as fast, so that is the usual way; the tokenizer
-file itself takes every text that the fast encoder refuses, and every text where no rank file exists.
+file itself takes every text that holds the string of an added token (``<|endoftext|>`` is one id there,
+whatever ``add_special_tokens`` says), every text that the fast encoder refuses, and every text where no
+rank file exists.
 
 Defined cases: a null text is empty; an empty document is one piece that holds the end id alone; ties
 in length are ordered by doc_id (null first) and start, and repeated rows are separate pieces; an empty
@@ -45,12 +47,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @functools.cache
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Text to ids, for one tokenizer file; special tokens' strings are ordinary text."""
+    """Text to ids, for one tokenizer file, as its ``encode(text, add_special_tokens=False)`` gives them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    added = [token.content for token in plain.get_added_tokens_decoder().values()]
     ranks_file = os.path.splitext(path)[0] + ".tiktoken"
 
     def slow(text: str) -> list[int]:
@@ -66,6 +68,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(token in text for token in added):
+            return slow(text)
         try:
             return fast.encode_ordinary(text)
         except BaseException as refusal:  # the fast encoder's panics are no Exceptions

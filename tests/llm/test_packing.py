@@ -9,9 +9,7 @@ ODD = [None, "", " ", "<|endoftext|> is text here", "x" * 3000, " " * 5000, "wor
 
 
 def plain_tokenizer():
-    t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.vocabulary_path())
 
 
 def check(pieces, texts):
@@ -44,6 +42,10 @@ def test_fast_ids_equal_the_tokenizer_file(spark, sf):
     assert all(encode(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
+def test_an_added_token_in_a_text_is_one_id():
+    assert packing.encoder(packing.vocabulary_path())("a<|endoftext|>b")[1] == 50256
+
+
 def test_every_id_lies_in_one_piece(spark):
     texts = dict(enumerate(ODD))
     docs = spark.createDataFrame([(k, x, 1, 2) for k, x in texts.items()], "doc_id long, text string, uid int, offset int").repartition(3)
