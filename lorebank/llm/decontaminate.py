@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebank.llm.common import fresh
+
 WINDOW = 13
 #: Characters of benchmark text in one search table; about 20 times as many bytes of Python objects.
 BLOCK_CHARS = 8_000_000
@@ -137,13 +139,12 @@ def _merge_ranges(lists: Iterable[Iterable[int]]) -> list[int]:
 def mark_hits(docs: DataFrame, benchmark: DataFrame, out_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct column: n_words, ranges (hit word ranges as start, stop pairs), items."""
     blocks = list(benchmark_blocks(benchmark, item_col, item_text_col))
+    if len(blocks) == 1:
+        return docs.withColumn(out_col, F.pandas_udf(_scanner(blocks[0], window), HITS)(F.col(text_col)))
     marks = []
-    for k, items in enumerate(blocks):
-        found = F.pandas_udf(_scanner(items, window), HITS)
-        docs = docs.withColumn(f"{out_col}_{k}", found(F.col(text_col)))
-        marks.append(f"{out_col}_{k}")
-    if len(marks) == 1:
-        return docs.withColumnRenamed(marks[0], out_col)
+    for items in blocks:
+        marks.append(fresh(docs, "hits"))
+        docs = docs.withColumn(marks[-1], F.pandas_udf(_scanner(items, window), HITS)(F.col(text_col)))
     merge = F.pandas_udf(lambda s: s.map(lambda lists: _merge_ranges(lists)), "array<bigint>")
     struct = F.struct(F.col(f"{marks[0]}.n_words").alias("n_words"), merge(F.array(*[f"{m}.ranges" for m in marks])).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{m}.items" for m in marks])))).alias("items"))
     return docs.withColumn(out_col, struct).drop(*marks)
@@ -163,8 +164,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns; no shuffle."""
-    from lorebank.llm.common import fresh
-
     mark, own = fresh(docs, "hits"), docs.columns
     rows = mark_hits(docs, benchmark, mark, text_col, item_col, item_text_col)
     n_hit = _hit_words(F.col(f"{mark}.ranges"))
