@@ -6,11 +6,16 @@ and the records come back by joining the two. Among records with equal payloads
 ``min_revisit_bytes``), the one with the largest record id is a ``response`` and holds the payload;
 the others are ``revisit`` records that refer to it. Digests are verified when the archive is read.
 
-Only the winning row of each payload takes its bytes through a shuffle, and its partner key there is
-the id as well as the digest, so a payload that a third of the rows share lands nowhere twice.
+Which record is the response is settled on digests, ids and lengths alone. Payload bytes go through one
+shuffle, by digest: equal bytes are equal whichever row they come from, so the copies that a task holds are
+merged before it, and a payload that a third of the rows share arrives once from each task.
 
-Defined cases: a null payload is empty; a null id sorts below all others; of repeated rows exactly one
-can be the response; an empty table gives an empty archive; extra columns are not read.
+An id is percent-encoded in its URN, and so is a URL that has blanks, controls or ``<>`` (a field of its own
+says so; other URLs stay as they are), so every field is one line and is read back exactly.
+
+Defined cases: a null payload is empty; a null id sorts below all others and is written as a record id of
+its own kind; a null URL has no field; of repeated rows exactly one can be the response; an empty table
+gives an empty archive; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,32 +37,27 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), CONV_DIGITS, RFC_DIGITS)
 
 
-def _header(record_type: Column, page_id: Column, url: Column, date: Column, payload_sha1: Column, length: Column, refers_to: Column) -> Column:
-    """The exact header block. A URL's line breaks and blanks are percent-encoded, so a field is one line."""
-    uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A"), " ", "%20")
+def _urn(page_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(page_id.cast("string")), F.lit(">")), F.lit("<urn:no-page>"))
 
-    def urn(x: Column) -> Column:
-        return F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
 
+def _header(record_type: Column, page_id: Column, url: Column, date: Column, payload_sha1: Column, length: Column, refers_to: Column) -> Column:
+    """The exact header block."""
+    odd, nothing = url.rlike(r"[\x00-\x20\x7F<>]"), F.lit("")
+    target = F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), F.when(odd, F.concat(F.url_encode(url), F.lit(f"{CRLF}X-Target-URI-Encoding: percent"))).otherwise(url))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), record_type,
-        F.lit(f"{CRLF}WARC-Record-ID: "), urn(page_id),
-        F.lit(f"{CRLF}WARC-Target-URI: "), uri,
+        F.lit(f"{CRLF}WARC-Record-ID: "), _urn(page_id),
+        F.coalesce(target, nothing),
         F.lit(f"{CRLF}WARC-Date: "), date,
         F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), payload_sha1,
         F.lit(f"{CRLF}Content-Type: text/html{CRLF}X-Payload-Length: "), length.cast("string"),
-        F.when(record_type == "revisit", F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), urn(refers_to))).otherwise(F.lit("")),
+        F.when(record_type == "revisit", F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), _urn(refers_to))).otherwise(nothing),
         F.lit(f"{CRLF}Content-Length: "), F.when(record_type == "revisit", F.lit("0")).otherwise(length.cast("string")),
         F.lit(CRLF + CRLF),
     )
 
 
-def _place(id_col: str) -> Column:
-    """Digest and id as one string that is never null."""
-    own = F.col(id_col).cast("string")
-    return F.concat("digest", F.when(own.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), own)))
-
-
 def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> str:
     """Write one record per row; returns the archive's folder in the shared storage."""
     spark = pages.sparkSession
@@ -73,10 +73,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     record_type = F.when((F.col("uid") == F.col("holder_uid")) | (F.col("length") < min_revisit_bytes), "response").otherwise("revisit")
     heads = narrow.join(best, "digest").withColumn("kind", record_type)
     heads.select(_header(F.col("kind"), F.col("page_id"), F.col("url"), F.lit(date), F.col("sha1"), F.col("length"), F.col("holder")).alias("header"), "digest", F.col("page_id").isNull().alias("no_id")).write.option("compression", "zstd").parquet(f"{folder}/headers")
-    # One key of digest and id: the join and the removal of repeated rows share its partitioning.
-    held = best.select(_place("holder").alias("place"))
-    store = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "payload").withColumn("place", _place("page_id"))
-    store.join(held, "place", "left_semi").dropDuplicates(["place"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    store = rows.groupBy(F.sha2("payload", 256).alias("digest")).agg(F.first("payload").alias("payload"))
+    store.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return folder
 
 
@@ -85,14 +83,22 @@ def _field(name: str) -> Column:
 
 
 def _page_id(name: str) -> Column:
-    found = F.regexp_extract(_field(name), "<urn:page:(.*)>", 1)
-    return F.when((found != "") & (found != "null"), found)
+    """The id of a field's URN; null if it names no page."""
+    named = _field(name).startswith("<urn:page:")
+    return F.when(named, F.url_decode(F.regexp_extract(_field(name), "^<urn:page:(.*)>$", 1)))
+
+
+def _url() -> Column:
+    url = F.regexp_extract("header", r"\r\nWARC-Target-URI: ([^\r]*)\r\n", 1)
+    given = F.contains(F.col("header"), F.lit(f"{CRLF}WARC-Target-URI: "))
+    return F.when(given, F.when(_field("X-Target-URI-Encoding") == "percent", F.url_decode(url)).otherwise(url))
 
 
-def read_archive(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, id_type: str = "long", with_url: bool = False) -> DataFrame:
     """One row per record, from the header block and the stored payload that it names.
 
-    ``verified`` says that the payload hashes to both its address and the header's digest.
+    ``verified`` says that the payload hashes to both its address and the header's digest. The URL comes
+    along on request.
     """
     heads = spark.read.parquet(f"{folder}/headers")
     store = spark.read.parquet(f"{folder}/payloads").select(
@@ -105,6 +111,7 @@ def read_archive(spark: SparkSession, folder: str, id_type: str = "long") -> Dat
         _field("WARC-Type").alias("record_type"),
         _page_id("WARC-Refers-To").cast(id_type).alias("refers_to"),
         (F.col("intact") & (F.concat(F.lit("sha1:"), "sha1") == _field("WARC-Payload-Digest"))).alias("verified"),
+        *([_url().alias("url")] if with_url else []),
     )
 
 
