@@ -9,16 +9,19 @@ each language is the exact sum over all of its bytes, and the shortest code name
 The trees are frozen, so the cost of a byte depends only on the last ORDER + 1 bytes. Costs of all
 strings that were seen are tabulated per order, with one column a language; the texts of a batch are
 scored by looking up a hash table for the longest order, and only bytes whose string was never seen in
-any language go on to shorter orders.
+any language go on to shorter orders. TOGETHER languages share a table, so that its empty entries stay
+few: the size of all tables is in proportion to the sample, whatever the number of languages.
 
 The sample: at most SAMPLE_DOCS distinct texts a language, and fewer where so many languages would take
-more than SAMPLE_TOTAL in all (but one at least), of at most SAMPLE_BYTES each, taken whole by the order
-of a hash of the text. It bounds the model; prediction reads every text whole.
+more than SAMPLE_TOTAL texts or MODEL_BYTES bytes in all (but one at least), of at most SAMPLE_BYTES each,
+taken whole by the order of a hash of the text. At most LANGUAGES are learned, those with the most
+labelled rows. This bounds the model; prediction reads every text whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything when
 no labelled text exists; ties go to the language that sorts first; repeated rows get equal results;
 labelled rows with a null or empty text or a null language are not learned from; an empty table gives
-an empty result; extra columns are kept by ``identify`` and never read.
+an empty result; extra columns are kept by ``identify`` and never read, but for one that has the name of
+its result, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,9 +38,15 @@ ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_TOTAL = 4000
 SAMPLE_BYTES = 65_536
+#: Bytes of all sampled texts, languages learned, and languages in one table.
+MODEL_BYTES = 8_000_000
+LANGUAGES = 1000
+TOGETHER = 8
 #: Bytes that are scored at once, which bounds a worker's memory.
 PIECE = 1 << 17
 UNKNOWN = "und"
+#: Bits of a byte without any model.
+RAW_BITS = 8.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -89,25 +98,24 @@ class HashIndex:
         return out
 
 
-class Model:
-    """Frozen context trees: per order the seen strings and contexts with their costs in bits."""
+class Trees:
+    """Frozen context trees of a few languages: per order the seen strings and contexts with their costs in bits."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.languages, self.order = sorted(samples), order
-        grams: list[dict[int, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(order + 1)]
-        for at, language in enumerate(self.languages):
-            codes = np.concatenate([np.zeros(0, np.uint64), *(rolling_codes(self._framed([t]), order) for t in samples[language])])
+    def __init__(self, samples: list[list[str]], order: int):
+        grams: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+        for texts in samples:
+            codes = np.concatenate([np.zeros(0, np.uint64), *(rolling_codes(framed(t, order), order) for t in texts)])
             for k in range(order + 1):
-                grams[k][at] = np.unique(codes & _mask(k + 1), return_counts=True)
-        self.codes, self.costs, self.contexts, self.escapes = [], [], [], []
-        n = len(self.languages)
+                grams[k].append(np.unique(codes & _mask(k + 1), return_counts=True))
+        self.order, self.codes, self.costs, self.contexts, self.escapes = order, [], [], [], []
+        n = len(samples)
         for k in range(order + 1):
-            codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in grams[k].values())]))
+            codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in grams[k])]))
             contexts = np.unique(codes >> np.uint64(8))
             costs, escapes = np.zeros((len(codes), n), np.float32), np.zeros((len(contexts), n), np.float32)
             under = self.costs[k - 1][np.searchsorted(self.codes[k - 1], codes & _mask(k))] if k else np.full((len(codes), n), 8.0, np.float32)
             of = np.searchsorted(contexts, codes >> np.uint64(8))
-            for at, (own, counts) in grams[k].items():
+            for at, (own, counts) in enumerate(grams[k]):
                 ctx = np.searchsorted(contexts, own >> np.uint64(8))
                 total = np.bincount(ctx, counts, len(contexts))
                 kinds = np.bincount(ctx, minlength=len(contexts)).astype(float)
@@ -124,10 +132,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_index": None}
 
-    def _framed(self, texts: list[str]) -> np.ndarray:
-        """Each text's bytes after ``order`` line feeds."""
-        lead = b"\n" * self.order
-        return np.frombuffer(b"".join(x for t in texts for x in (lead, t.encode("utf-8", "surrogatepass"))), np.uint8)
+    def size(self) -> int:
+        """Bytes of the tables."""
+        return sum(x.nbytes for x in (*self.codes, *self.costs, *self.contexts, *self.escapes))
 
     def symbol_costs(self, codes: np.ndarray) -> np.ndarray:
         """Cost in bits under each language of the last byte of every code."""
@@ -153,6 +160,22 @@ class Model:
         out[todo] += 8.0
         return out
 
+
+def framed(text: str, order: int) -> np.ndarray:
+    """A text's bytes after ``order`` line feeds."""
+    return np.frombuffer(b"\n" * order + text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+class Model:
+    """Frozen context trees of all languages."""
+
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
+        self.languages, self.order = sorted(samples), order
+        self.parts = [Trees([samples[x] for x in self.languages[k : k + TOGETHER]], order) for k in range(0, len(self.languages), TOGETHER)]
+
+    def size(self) -> int:
+        return sum(p.size() for p in self.parts)
+
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of every whole text under each language."""
         out = np.zeros((len(texts), len(self.languages)))
@@ -168,16 +191,16 @@ class Model:
             keep = np.ones(len(buffer), bool)
             for k in range(self.order):
                 keep[starts + k] = False
-            costs = self.symbol_costs(codes[keep[self.order :]])
-            firsts = np.concatenate([[0], np.cumsum(lengths - self.order)[:-1]])
-            sums = np.add.reduceat(costs, firsts, axis=0, dtype=np.float64)
-            np.add.at(out, [i for i, _ in rows], sums)
+            codes, firsts = codes[keep[self.order :]], np.concatenate([[0], np.cumsum(lengths - self.order)[:-1]])
+            for k, part in enumerate(self.parts):
+                sums = np.add.reduceat(part.symbol_costs(codes), firsts, axis=0, dtype=np.float64)
+                np.add.at(out[:, k * TOGETHER : (k + 1) * TOGETHER], [i for i, _ in rows], sums)
             rows.clear()
 
         for i, text in enumerate(texts):
-            framed = self._framed([text])
-            for start in range(0, len(framed) - self.order, PIECE):  # a piece starts with the bytes before it
-                piece = framed[start : start + PIECE + self.order]
+            data = framed(text, self.order)
+            for start in range(0, len(data) - self.order, PIECE):  # a piece starts with the bytes before it
+                piece = data[start : start + PIECE + self.order]
                 rows.append((i, piece))
                 size += len(piece)
                 if size >= PIECE:
@@ -186,32 +209,37 @@ class Model:
         flush()
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and bits a byte of every text."""
+        names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [RAW_BITS] * len(texts)
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
         if known and self.languages:
             bits = self.code_lengths([texts[i] for i in known])
             best = bits.argmin(axis=1)
             gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)
             share = 1.0 / np.exp2(-gap).sum(axis=1)
-            for i, b, s in zip(known, best, share, strict=True):
+            for i, b, s, least in zip(known, best, share, bits.min(axis=1), strict=True):
                 names[i], scores[i] = self.languages[b], float(s)
-        return names, scores
+                rates[i] = float(least) / len(texts[i].encode("utf-8", "surrogatepass"))
+        return names, scores, rates
 
 
 def training_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:
-    """Whole distinct texts by language, bounded by SAMPLE_DOCS and SAMPLE_BYTES."""
+    """Whole distinct texts by language, bounded as the module says."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count(F.lit(1)).alias("rows"))
+    counts = {r.lang: r.n for r in found.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return {}
-    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts)))
+    most, most_bytes = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts))), MODEL_BYTES // len(counts)
     # A hash below the cut keeps about twice the sample of each language (all of it, if it is small).
     cut = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2.0 * most + 200) / max(1, n)))])
-    near = rows.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= F.element_at(cut, F.col("lang")))
+    near = rows.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= F.try_element_at(cut, F.col("lang")))
     few = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most)
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    ranked = ranked.withColumn("b", F.sum(F.octet_length("text")).over(order)).where((F.col("r") == 1) | (F.col("b") <= most_bytes))
     out: dict[str, list[str]] = {}
     for r in ranked.select("lang", "text").collect():
         out.setdefault(r.lang, []).append(r.text)
@@ -219,14 +247,17 @@ def training_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str =
 
 
 def identify(docs: DataFrame, model: Model, out_col: str = "language", text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column (lang_pred, score)."""
+    """``docs`` with a struct column: lang_pred, score and bits (bits a byte of the shortest code).
+
+    An input column of that name is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, bits double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores, bits = shared.value.predict([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "bits": bits})
 
     return docs.withColumn(out_col, predicted(F.col(text_col)))
 
