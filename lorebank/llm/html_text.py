@@ -1,12 +1,20 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read once into blocks of text, each with its place in the element tree. A linear classifier
-gives every block evidence for content or for boilerplate; these become the capacities of the edges to
-the two terminals. Smoothness edges join blocks that follow one another and blocks under one parent,
-and are stronger the closer the two are in the tree; a step into or out of a container that is
-boilerplate by its nature has almost none. The maximum flow from source to sink then separates the
-blocks whose residual graph the source still reaches (content) from the rest, which is the labelling
-of least total cost. The content blocks, joined by line feeds, are the text.
+gives every block evidence for content or for boilerplate, from its text and from its containers; these
+become the capacities of the edges to the two terminals. Smoothness edges join blocks that follow one
+another and blocks under one parent, and are stronger the closer the two are in the tree; a step into or
+out of a container that is boilerplate by its nature has almost none. The maximum flow from source to sink
+then separates the blocks whose residual graph the source still reaches (content) from the rest, which is
+the labelling of least total cost: a block that looks like neither, or a little like the other kind, goes
+with its neighbours. The content blocks, joined by line feeds, are the text.
+
+``extract`` fits the weights of the text by logistic regression on blocks that pages label themselves: those
+in ``article`` or ``main`` without a hint of boilerplate are content, those in ``nav``, ``footer``, ``form``
+and the like are not. The sample is SAMPLE_PAGES distinct pages of at most SAMPLE_BYTES, by the order of a
+hash; it moves the weights from TEXT_WEIGHTS as FIT_BLOCKS blocks would, so a sample without labels leaves
+them. Containers count by fixed weights, of which a class name on a paragraph, or one that may as well be
+the subject (``legal``, ``related``), is a weak one that text and neighbours can outvote.
 
 Character references are decoded, white space inside a block becomes one space, blocks that are empty
 are left out; nothing is capped. Broken markup is read leniently: unclosed paragraphs, list items and
@@ -25,6 +33,7 @@ import re
 from collections import Counter, deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,19 +63,28 @@ BOILERPLATE_TAGS = {"nav", "aside", "footer", "form", "button", "dialog", "menu"
 CONTENT_TAGS = {"article", "main"}
 BOILERPLATE_WORDS = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr",
-    "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "reader",
-    "widget", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "dialog", "form", "paywall", "teaser", "teasers", "trending", "popular", "skip",
+    "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "recommended", "recommendations", "comment", "comments", "disqus", "replies", "respond",
+    "widget", "toolbar", "pagination", "pager", "copyright", "complementary", "contentinfo", "dialog", "paywall", "teaser", "teasers", "trending", "popular", "skip",
 }
+DOUBTFUL_WORDS = {"legal", "disclaimer", "related", "search", "form", "discussion", "reader", "reply", "more"}
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th", "caption", "address"}
 LAYOUT_WORDS = {"has", "with", "no", "without", "layout", "open", "closed"}
 CONTENT_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-# Weights of the classifier; positive is evidence for content.
-IN_CONTENT, OUTSIDE_CONTENT, NAMED_CONTENT = 2.5, -3.0, 1.5
-IN_BOILERPLATE, IN_HEADER, HIDDEN = -12.0, -6.0, -12.0
-HEADING, SENTENCE, PER_WORD, MOST_WORDS, LINKS = 0.5, 0.5, 0.05, 40, -4.0
+RIGHTS = re.compile(r"\xa9|\(c\)\s*\d{4}|\bcopyright\b|\ball rights reserved\b", re.I)
+
+# Weights of the classifier; positive is evidence for content. Of the text, before fitting, and its limit:
+TEXT_FEATURES = ("one", "words", "links", "sentence", "heading", "rights", "short", "digits", "item")
+TEXT_WEIGHTS = (-1.0, 1.0, -4.0, 1.2, 1.0, -3.0, -0.5, -1.0, -0.3)
+MOST_WORDS, FEW_WORDS, TEXT_LIMIT = 40, 4, 2.5
+# Of the containers:
+IN_CONTENT, OUTSIDE_CONTENT, NAMED_CONTENT = 2.0, -3.0, 1.0
+IN_BOILERPLATE, DOUBTFUL, IN_HEADER, HIDDEN = -8.0, -1.5, -5.0, -12.0
 # Smoothness: blocks under one parent, elsewhere, and across the border of a boilerplate container.
-SAME_PARENT, NEAR, ACROSS = 1.0, 0.4, 0.02
+SAME_PARENT, NEAR, ACROSS = 2.0, 0.4, 0.02
+#: The sample of pages to fit on, and the number of blocks that it counts as against the fixed weights.
+SAMPLE_PAGES, SAMPLE_BYTES, FIT_BLOCKS = 200, 65_536, 200
 
 
 @dataclass(slots=True)
@@ -82,6 +100,8 @@ class Element:
     hidden: bool = False
     heading: bool = False
     dropped: bool = False
+    doubtful: bool = False
+    item: bool = False
 
 
 @dataclass(slots=True)
@@ -102,6 +122,7 @@ def _open(tag: str, attributes: str, number: int, parent: Element | None) -> Ele
     e = Element(tag, number, parent.depth + 1 if parent else 0, parent)
     if parent:
         e.content, e.boilerplate, e.header, e.named, e.hidden, e.heading, e.dropped = parent.content, parent.boilerplate, parent.header, parent.named, parent.hidden, parent.heading, parent.dropped
+        e.doubtful, e.item = parent.doubtful, parent.item
     words: set[str] = set()
     role = ""
     if "=" in attributes or "hidden" in attributes:
@@ -119,9 +140,15 @@ def _open(tag: str, attributes: str, number: int, parent: Element | None) -> Ele
     elif words & CONTENT_WORDS and tag != "body":
         e.named = True
     # A name like has-sidebar or comments-open tells of the layout around, not of the element.
-    named_boilerplate = words & BOILERPLATE_WORDS and not words & LAYOUT_WORDS
-    if (tag in BOILERPLATE_TAGS or named_boilerplate) and tag not in ("html", "body"):
+    if tag not in ("html", "body") and not words & LAYOUT_WORDS:
+        named = bool(words & BOILERPLATE_WORDS)
+        if named and tag not in TEXT_TAGS and tag not in INLINE:
+            e.boilerplate = e.boilerplate or number
+        elif named or words & DOUBTFUL_WORDS:
+            e.doubtful = True
+    if tag in BOILERPLATE_TAGS:
         e.boilerplate = e.boilerplate or number
+    e.item |= tag in ("li", "dt", "dd", "td", "th")
     if tag == "header" or "header" in words and tag not in HEADINGS:
         e.header = True
     if tag in HEADINGS:
@@ -221,27 +248,85 @@ def read_page(source: str) -> Page:
     return page
 
 
-def score_blocks(page: Page) -> None:
+def text_features(b: Block) -> tuple[float, ...]:
+    """The values of TEXT_FEATURES."""
+    n_words = b.text.count(" ") + 1
+    digits = sum(map(b.text.count, "0123456789")) if n_words <= MOST_WORDS else 0
+    return (
+        1.0,
+        min(n_words, MOST_WORDS) / 10,
+        min(1.0, b.links / len(b.text)),
+        float(b.text[-1] in ".!?:…。\"'”»"),
+        float(b.element.heading),
+        float(n_words <= MOST_WORDS and RIGHTS.search(b.text) is not None),
+        float(n_words <= FEW_WORDS),
+        digits / len(b.text),
+        float(b.element.item),
+    )
+
+
+def _masthead(e: Element) -> bool:
+    """In a header, and not the title of the content."""
+    return e.header and not (e.heading and e.content)
+
+
+def score_blocks(page: Page, weights: tuple[float, ...] = TEXT_WEIGHTS) -> None:
     for b in page.blocks:
-        e, n_words = b.element, b.text.count(" ") + 1
-        s = min(n_words, MOST_WORDS) * PER_WORD + LINKS * min(1.0, b.links / len(b.text))
-        s += SENTENCE * (b.text[-1] in ".!?:…。\"'”»")
+        e = b.element
+        s = sum(w * x for w, x in zip(weights, text_features(b), strict=True))
+        s = max(-TEXT_LIMIT, min(TEXT_LIMIT, s))
         if page.has_content:
             s += IN_CONTENT if e.content else OUTSIDE_CONTENT
-        s += NAMED_CONTENT * e.named + HEADING * e.heading + HIDDEN * e.hidden
+        s += NAMED_CONTENT * e.named + HIDDEN * e.hidden
         if e.boilerplate:
             s += IN_BOILERPLATE
-        if e.header and not (e.heading and e.content):
+        elif e.doubtful:
+            s += DOUBTFUL
+        if _masthead(e):
             s += IN_HEADER
         b.score = s
 
 
+def self_labelled(page: Page) -> tuple[list[tuple[float, ...]], list[float]]:
+    """Text features and labels of the blocks whose containers say what they are."""
+    rows, labels = [], []
+    for b in page.blocks if page.has_content else ():
+        e = b.element
+        sure = e.content and not (e.boilerplate or e.doubtful or e.header or e.hidden)
+        if sure or e.boilerplate and not e.hidden:
+            rows.append(text_features(b))
+            labels.append(float(sure))
+    return rows, labels
+
+
+def fit_weights(sources: list[str]) -> tuple[float, ...]:
+    """Weights of the text features: a logistic regression that both kinds of blocks share evenly, drawn to TEXT_WEIGHTS."""
+    rows, labels = [], []
+    for source in sources:
+        own, y = self_labelled(read_page(source))
+        rows += own
+        labels += y
+    y = np.array(labels)
+    if not 0 < y.sum() < len(y):
+        return TEXT_WEIGHTS
+    x, w, start = np.array(rows), np.array(TEXT_WEIGHTS), np.array(TEXT_WEIGHTS)
+    share = FIT_BLOCKS / 2 * np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum()))
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - y)) + (w - start)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(round(float(v), 6) for v in w)
+
+
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours in page order, and between a block and the last one under its parent."""
     edges, last = [], {}
 
     def weight(a: Element, b: Element) -> float:
-        if a.boilerplate != b.boilerplate or a.content != b.content:
+        if a.boilerplate != b.boilerplate or a.content != b.content or _masthead(a) != _masthead(b):
             return ACROSS
         up_a, up_b = a.parent, b.parent
         if a is b or up_a is up_b:
@@ -320,21 +405,35 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                     room[e ^ 1] += flow
 
 
-def main_text(source: str | None) -> str:
+def labelled_blocks(source: str, weights: tuple[float, ...] = TEXT_WEIGHTS) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page and which of them the cut leaves on the side of content."""
+    page = read_page(source)
+    score_blocks(page, weights)
+    return page.blocks, min_cut([b.score for b in page.blocks], smoothness(page.blocks))
+
+
+def main_text(source: str | None, weights: tuple[float, ...] = TEXT_WEIGHTS) -> str:
     """The main text of a page."""
     if not source:
         return ""
-    page = read_page(source)
-    score_blocks(page)
-    content = min_cut([b.score for b in page.blocks], smoothness(page.blocks))
-    return "\n".join(b.text for b, keep in zip(page.blocks, content, strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(*labelled_blocks(source, weights), strict=True) if keep)
+
+
+def training_sample(pages: DataFrame, html_col: str = "html") -> list[str]:
+    """SAMPLE_PAGES distinct pages of at most SAMPLE_BYTES, by the order of a hash."""
+    rows = pages.select(F.col(html_col).alias("html")).where((F.octet_length("html") > 0) & (F.octet_length("html") <= SAMPLE_BYTES)).withColumn("h", F.xxhash64("html"))
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    # A hash below the cut keeps about twice the sample, or everything.
+    near = rows.where((F.col("h").cast("double") / F.lit(2.0**64) + 0.5) <= min(1.0, (2.0 * SAMPLE_PAGES + 100) / max(1, n)))
+    return [r.html for r in near.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(SAMPLE_PAGES).collect()]
 
 
 def extract(pages: DataFrame, out_col: str = "text", html_col: str = "html") -> DataFrame:
     """``pages`` with a column that holds each page's main text."""
+    weights = fit_weights(training_sample(pages, html_col))
 
     @F.pandas_udf("string")
     def texts(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: main_text(s if isinstance(s, str) else None))
+        return sources.map(lambda s: main_text(s if isinstance(s, str) else None, weights))
 
     return pages.withColumn(out_col, texts(F.col(html_col)))
