@@ -6,7 +6,7 @@ numbers (9 to 15 digits). A match that fails its test is dropped and not tried a
 
 Information-theoretic sanitisation then looks for terms that reveal a protected entity. Entities are the
 values found by pattern, and the credentials that a text assigns to one of the names CREDENTIALS
-(``token = "..."``). A term is a word of three letters or more, or a code: a run of letters, digits and
+(``token = "..."``) or that name themselves by one of KEY_FORMATS. A term is a word of three letters or more, or a code: a run of letters, digits and
 ``_+/-`` of six characters or more with a digit. A term t discloses the share
 
     PMI(t; c) / IC(c) = log(N n(t,c) / (n(t) n(c))) / log(N / n(c))
@@ -22,7 +22,7 @@ besides copies (see ``independent``). Texts of fewer than COPY_TERMS terms count
 one text alone are left out before pairs are made, and so are terms too frequent to reach GENERALISE: that needs n(t) <= n(t,c) (N / n(c))^(1 - GENERALISE), and the
 documents with values already give a lower bound of n(t).
 
-A credential: t and c meet if the text assigns t to the name. The name stands for many secrets, and one
+A credential: t and c meet if the text assigns t to the name, or t has the format. The name stands for many secrets, and one
 text is enough to give a secret away; N counts one document more, so that a name in all of them has
 content. A code that is written nowhere else discloses all of it, a common word next to nothing.
 
@@ -70,6 +70,9 @@ HAS_DIGIT = re.compile(r"[0-9]")
 CODE_OR_TERM = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{6})[A-Za-z_+/-]*+[0-9][A-Za-z0-9_+/-]*+|[^\W\d_]{3,}")
 # Names that credentials are assigned to.
 CREDENTIALS = ("token", "secret", "password", "passwd", "pwd", "passphrase", "api key", "access key", "private key", "credential")
+# Formats of keys that name themselves, by name.
+KEY_FORMATS = {"akia": r"AKIA[0-9A-Z]{16}", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "google": r"AIza[0-9A-Za-z_-]{35}"}
+KEY = re.compile("(?<![A-Za-z0-9_+/-])(?:" + "|".join(f"(?P<{name}>{form})" for name, form in KEY_FORMATS.items()) + ")(?![A-Za-z0-9_+/-])")
 ASSIGNED = re.compile(rf"(?<![A-Za-z])({'|'.join(c.replace(' ', '[_-]?') for c in CREDENTIALS)})[\"']?[\x20\t]{{0,4}}[=:][\x20\t]{{0,4}}([\"']?)([A-Za-z0-9_+/-]{{4,}})", re.I)
 
 
@@ -154,11 +157,9 @@ def sketch(text: str, terms: list[str]) -> list[int]:
 
 
 def credentials(text: str) -> set[tuple[str, str]]:
-    """(name, term) of what a text assigns to the names of credentials: quoted, after =, or a code."""
-    if "=" not in text and ":" not in text:
-        return set()
-    out = set()
-    for m in ASSIGNED.finditer(text):
+    """(name, term) of keys in one of KEY_FORMATS, and of what a text assigns to a credential's name: quoted, after =, or a code."""
+    out = {(f"credential:{m.lastgroup}", m[0].lower()) for m in KEY.finditer(text)} if HAS_DIGIT.search(text) else set()
+    for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
         if m[2] or HAS_DIGIT.search(m[3]) or ":" not in text[m.end(1) : m.start(3)]:
             name = f"credential:{re.sub('[_-]', '', m[1].lower())}"
             out.update((name, w.lower()) for w in CODE_OR_TERM.findall(m[3]))
