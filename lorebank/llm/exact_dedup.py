@@ -26,6 +26,8 @@ from lorebank.llm.common import BLANKS, durable, fresh, whole_text
 #: At most 1 / (HEAVY_SHARE - 1 / (COUNTERS + 1)) digests, here 342, can become candidates.
 COUNTERS = 1024
 HEAVY_SHARE = 1 / 256
+#: Keys of removed documents that are sent to the executors, about 20 bytes each; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -94,16 +96,34 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows of a heavy digest other than its winner are removed before the shuffle; every row that is
-    left is then ranked within its digest.
+    Rows are judged on their digests; whole rows meet only the keys of those that go. A row is known by its
+    id and a hash of its whole text: up to BROADCAST_KEYS of the keys are sent to the rows, more are joined
+    by a shuffle. Where id and text repeat among the rows that stay, or the id is null, those rows are
+    ordered by all their columns, and the first one stays.
     """
-    heavy = heavy_winners(digest_table(docs, id_col, text_col))
-    digest, length, keep = fresh(docs, "digest"), fresh(docs, "length"), fresh(docs, "keep")
     text = whole_text(text_col)
-    left = docs.withColumn(digest, F.sha2(normalised(text), 256)).withColumn(length, F.length(text))
+    known = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    table = durable(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("uid"), F.length(text).cast("long").alias("length"), F.sha2(normalised(text), 256).alias("digest")))
+    heavy = heavy_winners(table)
+    own = _rank("length", "doc_id", "uid")
     if heavy:
-        kind = dict(docs.dtypes)[id_col]
-        winners = F.broadcast(docs.sparkSession.createDataFrame([x[:2] for x in heavy], f"`{digest}` string, `{keep}` {kind}").withColumn(f"{keep}1", F.lit(True)))
-        left = left.join(winners, digest, "left").where(F.col(f"{keep}1").isNull() | F.col(keep).eqNullSafe(F.col(id_col))).drop(keep, f"{keep}1")
-    ranked = Window.partitionBy(digest).orderBy(F.desc(length), F.col(id_col).isNull(), id_col)
-    return left.withColumn(keep, F.row_number().over(ranked)).where(F.col(keep) == 1).drop(digest, length, keep)
+        winners = F.broadcast(docs.sparkSession.createDataFrame([x[:3] for x in heavy], f"digest string, keep_id {dict(table.dtypes)['doc_id']}, keep_uid long"))
+        light = table.join(winners.select("digest"), "digest", "left_anti")
+        settled = table.join(winners, "digest").select("doc_id", "uid", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))).alias("stays"))
+    else:
+        light, settled = table, None
+    ranked = Window.partitionBy("digest").orderBy(own)
+    judged = light.withColumn("first", F.first(own).over(ranked)).select("doc_id", "uid", own.eqNullSafe(F.col("first")).alias("stays"))
+    judged = durable(judged if settled is None else judged.unionByName(settled))
+    key, rank = fresh(docs, "key"), fresh(docs, "rank")
+    gone = judged.where(~F.col("stays")).select(F.struct(F.col("doc_id").alias("id"), F.col("uid").alias("h")).alias(key)).distinct()
+    gone = durable(gone)
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, known.eqNullSafe(F.col(key)), "left_anti")
+    repeats = durable(judged.where("stays").groupBy("doc_id", "uid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.struct(F.col("doc_id").alias("id"), F.col("uid").alias("h")).alias(key)))
+    if repeats.isEmpty():
+        return left
+    order = Window.partitionBy(known).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = left.join(repeats, known.eqNullSafe(F.col(key)), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return one.unionByName(left.join(repeats, known.eqNullSafe(F.col(key)), "left_anti"))

@@ -47,6 +47,8 @@ PIECE = 1 << 17
 UNKNOWN = "und"
 #: Bits of a byte without any model.
 RAW_BITS = 8.0
+#: What it takes to reject a document: bits in all, and bits a byte against the stated language.
+ODDS, CONTRADICTION = 64.0, 1.5
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -209,19 +211,28 @@ class Model:
         flush()
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score and bits a byte of every text."""
-        names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [RAW_BITS] * len(texts)
+    def judge(self, texts: list[str | None], stated: list[str | None] | None = None) -> pd.DataFrame:
+        """lang_pred, score, bits (bits a byte of the shortest code) and excess (bits a byte more under the
+        stated language; null if none is stated or it was not learned) of every text."""
+        n = len(texts)
+        out = {"lang_pred": [UNKNOWN] * n, "score": [0.0] * n, "bits": [RAW_BITS] * n, "excess": [None] * n}
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
         if known and self.languages:
             bits = self.code_lengths([texts[i] for i in known])
-            best = bits.argmin(axis=1)
-            gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)
-            share = 1.0 / np.exp2(-gap).sum(axis=1)
-            for i, b, s, least in zip(known, best, share, bits.min(axis=1), strict=True):
-                names[i], scores[i] = self.languages[b], float(s)
-                rates[i] = float(least) / len(texts[i].encode("utf-8", "surrogatepass"))
-        return names, scores, rates
+            best, least = bits.argmin(axis=1), bits.min(axis=1, keepdims=True)
+            share = 1.0 / np.exp2(-np.minimum(bits - least, 1000.0)).sum(axis=1)
+            at = {x: k for k, x in enumerate(self.languages)}
+            for row, i in enumerate(known):
+                size = len(texts[i].encode("utf-8", "surrogatepass"))
+                out["lang_pred"][i], out["score"][i], out["bits"][i] = self.languages[best[row]], float(share[row]), float(least[row, 0]) / size
+                if stated and stated[i] in at:
+                    out["excess"][i] = float(bits[row, at[stated[i]]] - least[row, 0]) / size
+        return pd.DataFrame(out).astype({"excess": "float64"})
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of every text."""
+        rows = self.judge(texts)
+        return list(rows["lang_pred"]), list(rows["score"])
 
 
 def training_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:
@@ -246,20 +257,34 @@ def training_sample(labelled: DataFrame, lang_col: str = "lang", text_col: str =
     return {lang: sorted(texts) for lang, texts in out.items()}
 
 
-def identify(docs: DataFrame, model: Model, out_col: str = "language", text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column: lang_pred, score and bits (bits a byte of the shortest code).
+def identify(docs: DataFrame, model: Model, out_col: str = "language", text_col: str = "text", stated_col: str | None = None) -> DataFrame:
+    """``docs`` with a struct column: lang_pred, score, bits and excess, as ``Model.judge`` says.
 
-    An input column of that name is replaced.
+    The prediction reads the text alone; ``stated_col`` is only held against it. An input column of the
+    result's name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            names, scores, bits = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "bits": bits})
+    @F.pandas_udf("lang_pred string, score double, bits double, excess double")
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, stated in batches:
+            yield shared.value.judge([t if isinstance(t, str) else None for t in texts], [x if isinstance(x, str) else None for x in stated])
 
-    return docs.withColumn(out_col, predicted(F.col(text_col)))
+    stated = F.lit(None).cast("string") if stated_col is None else F.col(stated_col).cast("string")
+    return docs.withColumn(out_col, judged(F.col(text_col), stated))
+
+
+def rejected(found: str, text: Column) -> Column:
+    """Whether a document goes, by its struct column of ``identify`` and its text.
+
+    It has no language; or no learned language explains it, as its code is at least ODDS bits longer than
+    the text as it is; or it is in another language than the stated one, whose code is at least ODDS bits
+    and CONTRADICTION bits a byte longer.
+    """
+    size = F.octet_length(text)
+    foreign = (F.col(f"{found}.bits") - RAW_BITS) * size >= ODDS
+    contradicted = (F.col(f"{found}.excess") * size >= ODDS) & (F.col(f"{found}.excess") >= CONTRADICTION)
+    return (F.col(f"{found}.lang_pred") == UNKNOWN) | foreign | F.coalesce(contradicted, F.lit(False))
 
 
 def has_letter(text: Column) -> Column:
