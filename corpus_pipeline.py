@@ -17,13 +17,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (null, empty or no letter), and keeps all others as they are."""
+    """Rejects documents without a language (null, empty or no letter), those that no learned language explains
+    better than plain bytes, and those whose text is plainly in another language than ``lang`` states; keeps
+    all others as they are."""
     model = language.train(docs)
     if not model.languages:  # nothing was learned, so every text is UNKNOWN
         return docs.where(language.has_letter(docs["text"]))
     guess = fresh(docs, "language")
-    marked = language.identify(docs, model, guess)
-    return marked.where(F.col(f"{guess}.lang_pred") != language.UNKNOWN).select(*docs.columns)
+    marked = language.identify(docs, model, guess, stated_col="lang")
+    return marked.where(~language.rejected(guess, F.col("text"))).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
