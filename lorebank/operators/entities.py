@@ -44,10 +44,11 @@ def matched_aliases(spark, query: str, aliases: DataFrame) -> DataFrame:
     return aliases.join(F.broadcast(grams), normalise_name("alias") == F.col("gram")).groupBy("entity_id").agg(F.max("confidence").alias("alias_confidence"))
 
 
-def recall_boost(matched: DataFrame, links: DataFrame, claims: DataFrame | None = None, evidence: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+def recall_boost(matched: DataFrame, links: DataFrame, claims: DataFrame | None = None, evidence: DataFrame | None = None, relationships: DataFrame | None = None, relationship_evidence: DataFrame | None = None) -> DataFrame:
     """id and boost: the strongest of the ways that lead from matched entities to a memory.
 
-    Direct links; claims of the entity and their evidence; links of related entities.
+    Direct links; claims of the entity and their evidence; evidence of the entity's relationships; links of
+    related entities. The caller leaves out claims and relationships that are not active and valid.
     """
     direct = top_links(links.join(matched, "entity_id")).select(F.col("memory_id").alias("id"), (F.lit(ALIAS_WEIGHT) * F.col("alias_confidence") * F.col("confidence")).alias("boost"))
     parts = [direct]
@@ -56,6 +57,12 @@ def recall_boost(matched: DataFrame, links: DataFrame, claims: DataFrame | None
         own = own.select("claim_id", "alias_confidence", F.col("confidence").alias("claim_confidence"))
         shown = top_links(evidence.join(own.select("claim_id").distinct(), "claim_id", "left_semi"), "claim_id")
         parts.append(shown.join(own, "claim_id").select(F.col("memory_id").alias("id"), (F.lit(CLAIM_WEIGHT) * F.col("claim_confidence") * F.col("confidence") * F.col("alias_confidence")).alias("boost")))
+    if relationships is not None and relationship_evidence is not None:
+        ends = relationships.select("relationship_id", "confidence", F.explode(F.array_distinct(F.array("source", "target"))).alias("entity_id"))
+        own = ends.join(matched, "entity_id").withColumn("_r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "relationship_id"))).where(F.col("_r") <= HOP_LIMIT)
+        own = own.groupBy("relationship_id").agg(F.max(F.col("confidence") * F.col("alias_confidence")).alias("w"))
+        shown = top_links(relationship_evidence.join(own.select("relationship_id"), "relationship_id", "left_semi"), "relationship_id")
+        parts.append(shown.join(own, "relationship_id").select(F.col("memory_id").alias("id"), (F.lit(EVIDENCE_WEIGHT) * F.col("w") * F.col("confidence")).alias("boost")))
     if relationships is not None:
         other = related_entities(matched, relationships).select(F.col("entity_id").alias("via"), F.col("other").alias("entity_id"), F.col("confidence").alias("rel_confidence"))
         other = other.join(matched.withColumnRenamed("entity_id", "via"), "via").groupBy("entity_id").agg(F.max(F.col("rel_confidence") * F.col("alias_confidence")).alias("w"))
@@ -132,6 +139,21 @@ def shared_entity_pairs(links: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(linked, ["a", "b"], "left_anti")
 
 
+def shared_entity_classes(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs of ``shared_entity_pairs`` as classes: entity_id, memory_id, representative (the entity's smallest
+    memory) and new_links, the other memories of the entity that no edge joins to this one yet.
+
+    Two memories of one entity are a pair unless an edge joins them, so the rows and the edges say all
+    pairs, and their number follows the links and not the squares of the groups.
+    """
+    own = links.select("entity_id", "memory_id").distinct()
+    ends = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).where("a <> b").distinct()
+    inside = ends.join(own.withColumnRenamed("memory_id", "a"), "a").join(own.withColumnRenamed("memory_id", "b"), ["entity_id", "b"])
+    joined = inside.select("entity_id", F.explode(F.array("a", "b")).alias("memory_id")).groupBy("entity_id", "memory_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = own.groupBy("entity_id").agg(F.min("memory_id").alias("representative"), F.count(F.lit(1)).alias("size"))
+    return own.join(sizes, "entity_id").join(joined, ["entity_id", "memory_id"], "left").select("entity_id", "memory_id", "representative", (F.col("size") - 1 - F.coalesce("n", F.lit(0))).alias("new_links"))
+
+
 def categories(entities: DataFrame, least: int = 2) -> DataFrame:
     """Types with at least ``least`` entities and their names in order."""
     return entities.groupBy("entity_type").agg(F.array_sort(F.collect_set("canonical")).alias("names")).where(F.size("names") >= least)

@@ -98,6 +98,14 @@ def category_edges(entities: DataFrame) -> DataFrame:
     return met.select("source", "target", F.lit("Related").alias("edge_type"), F.lit(CATEGORY_WEIGHT).alias("weight"), F.concat(F.lit("same_category:"), F.replace("c", F.lit(" "), F.lit("_"))).alias("label"))
 
 
+def category_classes(entities: DataFrame) -> DataFrame:
+    """The edges of ``category_edges`` as classes: entity_id, label, representative (the category's smallest entity)
+    and links, the other entities of the category. Any two entities of a label are joined by one edge."""
+    own = entities.select("entity_id", F.explode(categories(F.col("category"))).alias("c")).distinct()
+    sizes = own.groupBy("c").agg(F.min("entity_id").alias("representative"), (F.count(F.lit(1)) - 1).alias("links"))
+    return own.join(sizes, "c").select("entity_id", F.concat(F.lit("same_category:"), F.replace("c", F.lit(" "), F.lit("_"))).alias("label"), "representative", "links")
+
+
 def mention_edges(facts: DataFrame, rows: DataFrame, now_us: int) -> DataFrame:
     """Related edges from a fact's memory to the memories that hold its subject as a word.
 

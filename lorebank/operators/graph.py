@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lorebank.runtime import durable
 from lorebank.types import valid_at
 
+FLAT = 8
 # Factors of belief propagation.
 CAUSED, SUPPORTS, CONTRADICTS, SUPERSEDES, BELIEF_DEPTH = 0.9, 0.5, 0.7, 0.1, 5
 
@@ -40,23 +41,24 @@ def neighbours(edges: DataFrame, node, kinds: Sequence[str] | None = None, direc
     return {"outgoing": out, "incoming": into, "both": out.union(into)}[direction].distinct()
 
 
+def grown(visited: DataFrame, level: DataFrame, depth: int) -> DataFrame:
+    """What was visited and one more level; written anew every FLAT levels, so plans do not grow with the depth."""
+    both = visited.unionByName(level)
+    return durable(both) if depth % FLAT == 0 else both
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int, kinds: Sequence[str] | None = None, at_us: int | None = None) -> DataFrame:
     """id and least depth of all that the roots (column id) reach along outgoing edges within ``depth``."""
     steps = at_time(of_types(edges, kinds), at_us).select("source", F.col("target").alias("id")).distinct()
     reached = durable(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    levels = [reached]
+    visited, level = reached, reached
     for d in range(1, depth + 1):
-        next_level = levels[-1].select(F.col("id").alias("source")).join(steps, "source").select("id").distinct()
-        for level in levels:
-            next_level = next_level.join(level.select("id"), "id", "left_anti")
-        next_level = durable(next_level.withColumn("depth", F.lit(d)))
-        if next_level.isEmpty():
+        step = level.select(F.col("id").alias("source")).join(steps, "source").select("id").distinct()
+        level = durable(step.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        if level.isEmpty():
             break
-        levels.append(next_level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        visited = grown(visited, level, d)
+    return visited
 
 
 def dfs(edges: DataFrame, start, depth: int) -> DataFrame:
@@ -94,7 +96,7 @@ def subgraph_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def shortest_path(edges: DataFrame, start, goal, most: int = 16) -> list | None:
+def shortest_path(edges: DataFrame, start, goal) -> list | None:
     """The first of the shortest paths in id order, by levels from the start; None if there is none."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["source"]
@@ -103,15 +105,16 @@ def shortest_path(edges: DataFrame, start, goal, most: int = 16) -> list | None:
         return [start]
     steps = edges.select(F.col("source"), F.col("target").alias("next")).distinct()
     visited = frontier.select("id")
-    for _ in range(most):
+    depth = 0
+    while True:
         step = frontier.join(steps, frontier.id == steps.source).select(F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"))
         frontier = durable(step.join(visited, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if found := frontier.where(F.col("id") == goal).head():
             return list(found.path)
         if frontier.isEmpty():
             return None
-        visited = visited.union(frontier.select("id"))
-    return None
+        depth += 1
+        visited = grown(visited, frontier.select("id"), depth)
 
 
 def contradictions(edges: DataFrame, node) -> DataFrame:

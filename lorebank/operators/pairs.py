@@ -1,12 +1,20 @@
 """Exact similarity joins in blocks, and clusters of similar rows.
 
-Rows are dealt to blocks of BLOCK_ROWS; each unordered pair of blocks meets in one task as two dense
-matrices, whose product gives all cosines at once. The work is the same for every pair of blocks, so
-nothing is skewed, and only pairs above the threshold leave a task.
+Rows are dealt to blocks; each unordered pair of blocks meets in one task as two dense matrices, whose
+product, TILE rows at a time, gives all cosines. The work is the same for every pair of blocks, so
+nothing is skewed, and only pairs above the threshold leave a task. A vector is sent once for each block,
+so blocks are as large as a task can hold (BLOCK_BYTES of vectors) and only smaller where they would be
+too few to keep the cores busy. Vectors travel with the width they are stored in.
+
+Blocks are cut by direction where that helps: PIVOTS of the vectors are drawn by hash, every vector goes to
+its nearest one, and two groups whose caps are too far apart for any cosine above the threshold never meet.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,39 +23,112 @@ from pyspark.sql import functions as F
 from lorebank.functions.text import words
 from lorebank.runtime import durable
 
-BLOCK_ROWS = 2048
+#: Bytes of vectors in a block, rows of a block at least, rows and columns of one product.
+BLOCK_BYTES, BLOCK_ROWS, TILE = 16_000_000, 256, (2048, 8192)
+#: Vectors that a pivot stands for, and the most pivots.
+PIVOT_ROWS, PIVOTS = 50_000, 1024
 SHARES = 16
 TOPIC_WORDS = 5
 
 
+def _vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+
+
+def _block_rows(own: DataFrame, n: int, longest: int) -> int:
+    """Rows of a block: as many as fit, and few enough that the pairs of blocks are twice the cores."""
+    cores = own.sparkSession.sparkContext.defaultParallelism
+    return max(BLOCK_ROWS, min(BLOCK_BYTES // (8 * max(1, longest)), -(-n // math.isqrt(4 * cores))))
+
+
+def _units(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """Unit vectors and their rows, by length; vectors of different lengths have cosine 0, and so have zero vectors."""
+    for _, same in part.groupby(part["v"].map(len)):
+        m = np.vstack(same["v"].to_numpy()).astype(np.float64)
+        length = np.linalg.norm(m, axis=1)
+        yield m[length > 0] / length[length > 0, None], same[length > 0]
+
+
+def _above(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of left, row of right and cosine of all pairs above the threshold, a tile at a time."""
+    for i in range(0, len(left), TILE[0]):
+        for j in range(0, len(right), TILE[1]):
+            sims = left[i : i + TILE[0]] @ right[j : j + TILE[1]].T
+            x, y = np.nonzero(sims > threshold)
+            yield x + i, y + j, sims[x, y]
+
+
+def grouped_by_direction(own: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """Rows with the number of their nearest pivot (grp), and whether two groups may hold a close pair.
+
+    The second result takes a threshold. Vectors of another length than the pivots, and zero vectors,
+    are a group of their own without a pivot.
+    """
+    wanted = min(PIVOTS, n // PIVOT_ROWS)
+    drawn = [np.array(r.v, np.float64) for r in own.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()] if wanted > 1 else []
+    drawn = [v / np.linalg.norm(v) for v in drawn if len(v) == len(drawn[0]) and np.linalg.norm(v) > 0]
+    if len(drawn) < 2:
+        return own.withColumn("grp", F.lit(0)), np.zeros((1, 1))
+    pivots = np.vstack(drawn)
+
+    @F.pandas_udf("grp int, angle double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        grp, angle = np.full(len(vectors), len(pivots)), np.zeros(len(vectors))
+        fit = np.flatnonzero((vectors.map(len) == pivots.shape[1]).to_numpy())
+        if len(fit):
+            m = np.vstack(vectors.iloc[fit].to_numpy()).astype(np.float64)
+            length = np.linalg.norm(m, axis=1)
+            fit, m, length = fit[length > 0], m[length > 0], length[length > 0]
+            sims = m @ pivots.T / length[:, None]
+            grp[fit] = sims.argmax(axis=1)
+            angle[fit] = np.arccos(np.clip(sims.max(axis=1), -1, 1)) if len(fit) else 0
+        return pd.DataFrame({"grp": grp.astype("int32"), "angle": angle})
+
+    dealt = own.withColumn("x", nearest("v")).select("id", "v", "x.*")
+    radius = np.zeros(len(pivots))
+    for r in dealt.where(F.col("grp") < len(pivots)).groupBy("grp").agg(F.max("angle").alias("r")).collect():
+        radius[r.grp] = r.r
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) - radius[:, None] - radius[None, :]
+    np.fill_diagonal(between, 0.0)
+    # The group without a pivot meets itself alone: no other vector is like one of its own.
+    gap = np.full((len(pivots) + 1, len(pivots) + 1), np.inf)
+    gap[:-1, :-1], gap[-1, -1] = np.maximum(between, 0.0), 0.0
+    return dealt.drop("angle"), gap
+
+
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """a, b and similarity of all pairs a < b with a cosine above the threshold."""
-    own = rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-own.count() // BLOCK_ROWS))
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # Block b meets every block: as the left one of the pairs (b, j >= b), as the right one of (i < b, b).
-    met = dealt.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    met = met.select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    own = _vectors(rows, id_col, vector_col)
+    spark = own.sparkSession
+    n, longest = own.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    grouped, gap = grouped_by_direction(own, n)
+    most = _block_rows(own, n, longest or 1)
+    parts = {r.grp: -(-r.n // most) for r in grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    meets = [(g, h, parts[g], parts[h]) for g in sorted(parts) for h in sorted(parts) if g <= h and gap[g, h] <= reach]
+    near = spark.createDataFrame(meets, "g int, h int, parts_g int, parts_h int")
+    dealt = grouped.join(F.broadcast(spark.createDataFrame(sorted(parts.items()), "grp int, parts int")), "grp").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    key = F.struct("g", F.col("i").alias("i"), "h", F.col("j").alias("j"))
+    # A block meets every part of a later group as the left one, of an earlier one as the right one.
+    left = dealt.join(F.broadcast(near), F.col("grp") == F.col("g")).select("id", "v", "g", "h", F.col("part").alias("i"), F.explode(F.sequence(F.when(F.col("g") == F.col("h"), F.col("part")).otherwise(0), F.col("parts_h") - 1)).alias("j"), F.lit(True).alias("is_left"))
+    right = dealt.join(F.broadcast(near), F.col("grp") == F.col("h")).select("id", "v", "g", "h", F.explode(F.sequence(F.lit(0), F.when(F.col("g") == F.col("h"), F.col("part")).otherwise(F.col("parts_g") - 1))).alias("i"), F.col("part").alias("j"), F.lit(False).alias("is_left"))
+    right = right.where((F.col("g") != F.col("h")) | (F.col("i") != F.col("j")))  # a block with itself is sent once
+    met = left.unionByName(right).select("id", "v", "is_left", key.alias("key"))
 
     def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        groups = {}
-        for dim, same in part.groupby(part["v"].map(len)):  # vectors of different lengths have cosine 0
-            m = np.vstack(same["v"].to_numpy())
-            length = np.linalg.norm(m, axis=1)
-            ok = length > 0
-            groups[dim] = same["id"].to_numpy()[ok], same["block"].to_numpy()[ok], m[ok] / length[ok, None]
-        out = []
-        for ids, block, m in groups.values():
-            left, right = block == i, block == j
-            sims = m[left] @ m[right].T
-            x, y = np.nonzero(sims > threshold)
-            a, b = ids[left][x], ids[right][y]
-            keep = (a < b) if i == j else np.ones(len(a), bool)
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[x, y][keep]}))
+        where, out = key[0], []
+        alone = where["g"] == where["h"] and where["i"] == where["j"]
+        for unit, same in _units(part):
+            ids, first = same["id"].to_numpy(), same["is_left"].to_numpy()
+            left, right = (unit, unit) if alone else (unit[first], unit[~first])
+            a_ids, b_ids = (ids, ids) if alone else (ids[first], ids[~first])
+            for x, y, sims in _above(left, right, threshold):
+                a, b = a_ids[x], b_ids[y]
+                keep = a < b if alone else np.ones(len(a), bool)
+                out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sims[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
-    return met.groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
+    return met.groupBy("key").applyInPandas(join, "a long, b long, similarity double")
 
 
 def pairs_between(left: DataFrame, right: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -57,24 +138,21 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float, id_col: s
     """
     sides = []
     for k, rows in enumerate((left, right)):
-        own = rows.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(k).alias("side"))
-        sides.append((own, max(1, -(-own.count() // BLOCK_ROWS))))
+        own = _vectors(rows, id_col, vector_col).withColumn("side", F.lit(k))
+        n, longest = own.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        sides.append((own, max(1, -(-n // _block_rows(own, n, longest or 1)))))
     (a, blocks_a), (b, blocks_b) = sides
     a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
     b = b.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": [], "similarity": []})]
-        for _, same in part.groupby(part["v"].map(len)):
-            m = np.vstack(same["v"].to_numpy())
-            length = np.linalg.norm(m, axis=1)
-            ok = length > 0
-            ids, side, unit = same["id"].to_numpy()[ok], same["side"].to_numpy()[ok], m[ok] / length[ok, None]
-            sims = unit[side == 0] @ unit[side == 1].T
-            x, y = np.nonzero(sims > threshold)
-            found = pd.DataFrame({"a": ids[side == 0][x], "b": ids[side == 1][y], "similarity": sims[x, y]})
-            out.append(found[found["a"] != found["b"]])
-        return pd.concat([o for o in out if len(o)] or out[:1])
+        out = []
+        for unit, same in _units(part):
+            ids, side = same["id"].to_numpy(), same["side"].to_numpy()
+            for x, y, sims in _above(unit[side == 0], unit[side == 1], threshold):
+                found = pd.DataFrame({"a": ids[side == 0][x], "b": ids[side == 1][y], "similarity": sims})
+                out.append(found[found["a"] != found["b"]])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
 
     return a.unionByName(b).groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 

@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,9 +155,9 @@ def pack_lines(text: str, most: int) -> Iterator[str]:
 def ingest_text(texts: DataFrame, most: int = 800) -> DataFrame:
     """Chunks of texts (source, content) as rows with tags and attributes."""
 
-    @F.udf("array<string>")
-    def chunks(text):
-        return list(pack_lines(text or "", most))
+    @F.pandas_udf("array<string>")
+    def chunks(batch: pd.Series) -> pd.Series:
+        return pd.Series([list(pack_lines(t if isinstance(t, str) else "", most)) for t in batch], dtype=object)
 
     rows = texts.select("source", F.posexplode(chunks("content")).alias("chunk_index", "content"))
     return rows.withColumn("tags", F.array(F.lit("memory_bank"), F.concat(F.lit("source:"), "source"))).withColumn("attributes", F.to_json(F.struct("source", "chunk_index")))
