@@ -20,7 +20,7 @@ AL = "AL AS (SELECT entity_id, canonical AS alias, 1.0::DOUBLE AS confidence FRO
 LK = "LK AS (SELECT c_custkey AS memory_id, CAST(c_nationkey AS BIGINT) AS entity_id, 0.5::DOUBLE + (c_custkey % 5)::DOUBLE / 10.0::DOUBLE AS confidence FROM customer)"
 CL = "CL AS (SELECT o_orderkey AS claim_id, CAST(c_nationkey AS BIGINT) AS entity_id, 0.5::DOUBLE + (o_orderkey % 5)::DOUBLE / 10.0::DOUBLE AS confidence, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'corrected' END AS status, epoch_us(o_orderdate) AS valid_from_us FROM orders JOIN customer ON o_custkey = c_custkey)"
 EV = "EV AS (SELECT l_orderkey AS claim_id, l_partkey AS memory_id, 1.0::DOUBLE - l_discount AS confidence FROM lineitem)"
-RE = "RE AS (SELECT a.entity_id AS source, b.entity_id AS target, 0.5::DOUBLE + (a.entity_id % 5)::DOUBLE / 10.0::DOUBLE AS confidence FROM EN a JOIN EN b ON a.n_regionkey = b.n_regionkey AND a.entity_id < b.entity_id)"
+RE = "RE AS (SELECT a.entity_id AS source, b.entity_id AS target, 0.5::DOUBLE + (a.entity_id % 5)::DOUBLE / 10.0::DOUBLE AS confidence, CASE WHEN (a.entity_id + b.entity_id) % 6 = 0 THEN 'rejected' ELSE 'active' END AS status FROM EN a JOIN EN b ON a.n_regionkey = b.n_regionkey AND a.entity_id < b.entity_id)"
 ALL = f"WITH {ENT}, {AL}, {LK}, {CL}, {EV}, {RE}"
 
 
@@ -91,15 +91,20 @@ BOOST = f"""{ALL}, G AS (SELECT entity_id, max(confidence) AS ac FROM AL WHERE l
 D AS (SELECT memory_id AS id, ac * confidence AS b FROM LK JOIN G USING (entity_id) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, memory_id) <= 32),
 C AS (SELECT claim_id, ac, confidence AS cc FROM CL JOIN G USING (entity_id) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, claim_id) <= 32),
 V AS (SELECT claim_id, memory_id, confidence FROM EV WHERE claim_id IN (SELECT claim_id FROM C) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, memory_id) <= 32),
-O AS (SELECT other, max(rc * ac) AS w FROM (SELECT source AS entity_id, target AS other, confidence AS rc FROM RE UNION ALL SELECT target, source, confidence FROM RE) JOIN G USING (entity_id) GROUP BY other),
-L AS (SELECT memory_id AS id, 0.6::DOUBLE * w * confidence AS b FROM LK JOIN O ON entity_id = other QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, memory_id) <= 32)
-SELECT id, round(max(b), 6) AS boost FROM (SELECT * FROM D UNION ALL SELECT memory_id, 0.9::DOUBLE * cc * confidence * ac FROM V JOIN C USING (claim_id) UNION ALL SELECT * FROM L) GROUP BY id"""
+O AS (SELECT other, max(rc * ac) AS w FROM (SELECT source AS entity_id, target AS other, confidence AS rc FROM RE WHERE status = 'active' UNION ALL SELECT target, source, confidence FROM RE WHERE status = 'active') JOIN G USING (entity_id) GROUP BY other),
+L AS (SELECT memory_id AS id, 0.6::DOUBLE * w * confidence AS b FROM LK JOIN O ON entity_id = other QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, memory_id) <= 32),
+RI AS (SELECT source * 100 + target AS relationship_id, source, target, confidence FROM RE WHERE status = 'active'),
+RT AS (SELECT relationship_id, max(confidence * ac) AS w FROM (SELECT relationship_id, ac, RI.confidence FROM RI JOIN G ON source = entity_id OR target = entity_id QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY RI.confidence DESC, relationship_id) <= 32) GROUP BY relationship_id),
+RV AS (SELECT relationship_id, memory_id, w * confidence AS b FROM (SELECT o_custkey % 5 * 500 + o_orderkey % 25 AS relationship_id, o_orderkey AS memory_id, 0.2::DOUBLE + (o_orderkey % 7)::DOUBLE / 10.0::DOUBLE AS confidence FROM orders) JOIN RT USING (relationship_id) QUALIFY row_number() OVER (PARTITION BY relationship_id ORDER BY confidence DESC, memory_id) <= 32)
+SELECT id, round(max(b), 6) AS boost FROM (SELECT memory_id AS id, b FROM RV UNION ALL SELECT * FROM D UNION ALL SELECT memory_id, 0.9::DOUBLE * cc * confidence * ac FROM V JOIN C USING (claim_id) UNION ALL SELECT * FROM L) GROUP BY id"""
 
 
 @query("entity_boost", BOOST)
 def entity_boost(spark, sf):
     hit = entities.matched_aliases(spark, "Tell me about NATION_4, or nation_7?", aliases(spark, sf))
-    return entities.recall_boost(hit, links(spark, sf), claims(spark, sf), evidence(spark, sf), relationships(spark, sf)).select("id", r6("boost"))
+    active = relationships(spark, sf).where((F.col("source") + F.col("target")) % 6 != 0).withColumn("relationship_id", F.col("source") * 100 + F.col("target"))
+    shown = fx.table(spark, sf, "orders").select((F.col("o_custkey") % 5 * 500 + F.col("o_orderkey") % 25).alias("relationship_id"), F.col("o_orderkey").alias("memory_id"), (F.lit(0.2) + (F.col("o_orderkey") % 7).cast("double") / 10.0).alias("confidence"))
+    return entities.recall_boost(hit, links(spark, sf), claims(spark, sf), evidence(spark, sf), active, shown).select("id", r6("boost"))
 
 
 @query("query_ngrams", "SELECT unnest(['tell', 'me', 'now', 'tell me', 'me now', 'tell me now']) AS gram")
@@ -142,11 +147,23 @@ def entity_merge(spark, sf):
     return entities.merge_entities(parts).select("key", "confidence", F.array_join("types", ",").alias("types"))
 
 
-@query("entity_link_pairs", f"""{ALL}, X AS (SELECT entity_id, memory_id, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, memory_id) AS r FROM LK)
-SELECT DISTINCT least(a.memory_id, b.memory_id) AS a, greatest(a.memory_id, b.memory_id) AS b FROM X a JOIN X b ON a.entity_id = b.entity_id AND a.r < b.r AND a.r <= 32 AND (b.r <= 32 OR a.r = 1)""")
+# Edges that some pairs have already: every memory to the one 25 ids on.
+@query("entity_link_pairs", f"""{ALL}, G AS (SELECT memory_id AS source, memory_id + 25 AS target FROM LK WHERE memory_id % 3 = 0),
+P AS (SELECT a.entity_id, a.memory_id AS x, b.memory_id AS y FROM LK a JOIN LK b ON a.entity_id = b.entity_id AND a.memory_id <> b.memory_id),
+N AS (SELECT P.* FROM P LEFT JOIN G ON least(x, y) = source AND greatest(x, y) = target WHERE source IS NULL)
+SELECT LK.entity_id, memory_id, min(memory_id) OVER (PARTITION BY LK.entity_id) AS representative, count(y) AS new_links FROM LK LEFT JOIN N ON LK.entity_id = N.entity_id AND memory_id = x GROUP BY LK.entity_id, memory_id""")
 def entity_link_pairs(spark, sf):
-    none = spark.createDataFrame([], "source long, target long")
-    return entities.shared_entity_pairs(links(spark, sf), none)
+    own = links(spark, sf)
+    known = own.where("memory_id % 3 = 0").select(F.col("memory_id").alias("source"), (F.col("memory_id") + 25).alias("target"))
+    return entities.shared_entity_classes(own, known)
+
+
+@query("entity_link_new_pairs", f"""{ALL}, G AS (SELECT memory_id AS source, memory_id + 25 AS target FROM LK WHERE memory_id % 3 = 0)
+SELECT a.memory_id AS a, b.memory_id AS b FROM LK a JOIN LK b ON a.entity_id = b.entity_id AND a.memory_id < b.memory_id LEFT JOIN G ON a.memory_id = source AND b.memory_id = target WHERE source IS NULL AND a.entity_id < 3""")
+def entity_link_new_pairs(spark, sf):
+    own = links(spark, sf)
+    known = own.where("memory_id % 3 = 0").select(F.col("memory_id").alias("source"), (F.col("memory_id") + 25).alias("target"))
+    return entities.shared_entity_pairs(own.where("entity_id < 3"), known)
 
 
 @query("extraction_validation", "SELECT * FROM (VALUES (1, 'empty content'), (2, 'confidence out of range'), (3, 'validity ends before it begins'), (4, 'attributes are no object')) t(id, violation)")

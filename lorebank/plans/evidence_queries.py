@@ -109,9 +109,28 @@ def entity_embedding_keys(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), em.entity_key("p_name", "p_type", "a").alias("key"))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", """WITH B AS (SELECT p_partkey AS id, p_name, unnest(range(0, strlen(p_name))) AS i, unnest(list_transform(range(0, strlen(p_name)), lambda k: CAST('0x' || substr(hex(encode(p_name)), 2 * k + 1, 2) AS INTEGER))) AS b FROM part),
+S AS (SELECT id, i % 16 AS d, sum((b - 96)::DOUBLE / 32.0::DOUBLE) AS v FROM B GROUP BY id, i % 16)
+SELECT id, 16 AS dims, round(coalesce(max(v) FILTER (d = 0), 0) / sqrt(sum(v * v)), 2) AS first FROM S GROUP BY id""")
 def hash_embeddings(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", F.size(em.hash_embedding("text", 16)).alias("dims"), F.round(F.get(em.hash_embedding("text", 16, "bytes"), F.lit(0)), 4).alias("first"))
+    p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return p.select("id", F.size(em.hash_embedding("p_name", 16)).alias("dims"), F.round(F.get(em.hash_embedding("p_name", 16, "bytes"), F.lit(0)).cast("double"), 2).alias("first"))
+
+
+FNV = "list_reduce(list_concat({0}, list_transform(range(0, strlen({1})), lambda k: CAST('0x' || substr(hex(encode({1})), 2 * k + 1, 2) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)"
+
+
+@query("embedding_cache_keys", f"SELECT n_name, CAST({FNV.format('[109::HUGEINT, 255::HUGEINT]', 'n_name')} AS VARCHAR) AS key FROM nation")
+def embedding_cache_keys(spark, sf):
+    key = F.pandas_udf(lambda names: names.map(lambda n: str(em.cache_key("m", n))), "string")
+    return fx.table(spark, sf, "nation").select("n_name", key("n_name").alias("key"))
+
+
+@query("hash_embedding_values", f"""WITH D AS (SELECT n_name, d, {FNV.format('[d::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT]', 'n_name')}::DOUBLE / 18446744073709551615.0::DOUBLE * 2 - 1 AS v FROM nation, (SELECT unnest(range(0, 4)) AS d))
+SELECT n_name, CAST(d AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY n_name)), 3) AS value FROM D""")
+def hash_embedding_values(spark, sf):
+    rows = fx.table(spark, sf, "nation").select("n_name", F.posexplode(em.hash_embedding("n_name", 4)).alias("pos", "value"))
+    return rows.select("n_name", "pos", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("part_of_edges", f"{W_MV} SELECT DISTINCT id AS source, CAST(n_nationkey AS BIGINT) + 1000000 AS target FROM (SELECT id, unnest(list_distinct(list_transform(list_filter(string_split_regex(lower(content), '[ \\t\\r\\n\\f\\x0b]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')))) AS w FROM MV), (SELECT n_nationkey, (['the', 'of', 'eau', 'und', 'que'])[n_nationkey % 5 + 1] AS name FROM nation) WHERE w = name")
@@ -121,10 +140,18 @@ def part_of_edges(spark, sf):
     return ex.part_of_edges(fx.vector_memories(spark, sf), e, NOW).select("source", "target")
 
 
-@query("category_edges", """WITH C AS (SELECT p_partkey AS id, lower(p_type) AS c, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS r FROM part)
-SELECT a.id AS source, b.id AS target, 'same_category:' || a.c AS label FROM C a JOIN C b ON a.c = b.c AND a.r < b.r AND a.r <= 32 AND (b.r <= 32 OR a.r = 1)""")
+# All pairs of a category, counted and named from both ends; the query gives them as classes.
+@query("category_edges", """WITH C AS (SELECT p_partkey AS id, lower(p_type) AS c FROM part), P AS (SELECT a.c, a.id AS x, b.id AS y FROM C a JOIN C b ON a.c = b.c AND a.id <> b.id)
+SELECT id AS entity_id, 'same_category:' || c AS label, least(id, coalesce(min(y), id)) AS representative, count(y) AS links FROM C LEFT JOIN P USING (c) WHERE x = id OR x IS NULL GROUP BY id, c""")
 def category_edges(spark, sf):
     p = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"))
+    return ex.category_classes(p)
+
+
+@query("category_edge_pairs", """WITH C AS (SELECT p_partkey AS id, lower(p_type) AS c FROM part WHERE p_partkey % 7 = 3)
+SELECT a.id AS source, b.id AS target, 'same_category:' || a.c AS label FROM C a JOIN C b ON a.c = b.c AND a.id < b.id""")
+def category_edge_pairs(spark, sf):
+    p = fx.table(spark, sf, "part").where("p_partkey % 7 = 3").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"))
     return ex.category_edges(p).select("source", "target", "label")
 
 

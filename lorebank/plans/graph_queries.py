@@ -39,9 +39,10 @@ def bfs_no_types(spark, sf):
     return graph.bfs(fx.edges(spark, sf), ids(spark, 3), 4, kinds=[])
 
 
-@query("bfs_unknown_start", "SELECT CAST(1 AS BIGINT) AS id, 0 AS depth WHERE false")
+@query("bfs_unknown_start", f"WITH {fx.E_SQL} SELECT CAST(7 AS BIGINT) AS id, 0 AS depth UNION SELECT target, 1 FROM E WHERE source = 7")
 def bfs_unknown_start(spark, sf):
-    return mql.run("TRAVERSE 999999999 DEPTH 3", engine(spark, sf))
+    """An unknown start reaches nothing, and takes nothing from what a known one reaches."""
+    return mql.run("TRAVERSE 999999999 DEPTH 3", engine(spark, sf)).union(mql.run("TRAVERSE 7 DEPTH 1", engine(spark, sf)))
 
 
 @query("bfs_valid_at", bfs_sql("SELECT CAST(26 AS BIGINT) AS id", 3, "coalesce(valid_from_us, 0) <= 50000000 AND (valid_until_us IS NULL OR 50000000 < valid_until_us)") + " SELECT id, depth FROM B")
@@ -87,11 +88,25 @@ def shortest_path_len(spark, sf):
     return spark.range(1).select(F.lit(None if path is None else len(path) - 1).cast("long").alias("hops")).where("hops is not null")
 
 
+@query("shortest_path_long", "SELECT CAST(unnest(range(0, 25)) AS BIGINT) AS hop, CAST(unnest(range(0, 25)) * 8 AS BIGINT) AS id")
+def shortest_path_long(spark, sf):
+    """Along the edges of eight ids on, the only path has 24 hops."""
+    path = graph.shortest_path(fx.edges(spark, sf).where("target = source + 8"), 0, 192)
+    return spark.createDataFrame(list(enumerate(path)), "hop long, id long")
+
+
+@query("dfs_order", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 0), (2, 1, 1), (3, 2, 2), (4, 3, 3), (5, 1, 4)) t(id, depth, place)")
+def dfs_order(spark, sf):
+    """4 is first reached at the last depth, so 6 is missed although 5 leads there in time."""
+    steps = spark.createDataFrame([(1, 2), (1, 5), (2, 3), (3, 4), (5, 4), (4, 6), (3, 1)], "source long, target long")
+    return graph.dfs(steps, 1, 3)
+
+
 @query("contradictions", f"""{W_E}, U AS (SELECT source, target, edge_type FROM E UNION ALL SELECT target, source, edge_type FROM E),
-V AS (SELECT DISTINCT target AS via FROM U WHERE source = 4 AND edge_type = 'Supports')
-SELECT target AS id FROM U WHERE source = 4 AND edge_type = 'Contradicts' UNION SELECT target FROM E JOIN V ON source = via WHERE edge_type = 'Contradicts' AND target <> 4""")
+V AS (SELECT DISTINCT target AS via FROM U WHERE source = 11 AND edge_type = 'Supports')
+SELECT target AS id FROM U WHERE source = 11 AND edge_type = 'Contradicts' UNION SELECT target FROM E JOIN V ON source = via WHERE edge_type = 'Contradicts' AND target <> 11""")
 def contradictions(spark, sf):
-    return graph.contradictions(fx.edges(spark, sf), 4)
+    return graph.contradictions(fx.edges(spark, sf), 11)
 
 
 @query("has_cycle", f"""WITH RECURSIVE {fx.E_SQL}, C AS (SELECT DISTINCT source, target FROM E WHERE edge_type IN ('Caused', 'Before', 'Related')),
@@ -109,7 +124,21 @@ def belief_chain(spark, sf):
     return graph.propagate_belief(chain, 8, 0.9).select("id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("belief_propagation")
+def belief_sql(start: int, confidence: float, depth: int) -> str:
+    """Level by level: the edges into a node folded in order of source and type, new nodes pass it on."""
+    fold = """CASE e.t WHEN 'Caused' THEN e.p * e.w * 0.9 WHEN 'Supports' THEN greatest(0.0, least(1.0, c.c + (e.p - 1.0) * e.w * 0.5))
+      WHEN 'Contradicts' THEN greatest(0.0, least(1.0, c.c - e.p * e.w * 0.7)) ELSE least(c.c, e.p * 0.1) END"""
+    out = f"""WITH {fx.E_SQL}, S AS MATERIALIZED (SELECT source, target, edge_type, weight FROM E WHERE edge_type IN ('Caused', 'Supports', 'Contradicts', 'Supersedes')),
+K0 AS (SELECT CAST({start} AS BIGINT) AS id, {confidence}::DOUBLE AS confidence), F0 AS (SELECT * FROM K0)"""
+    for d in range(1, depth + 1):
+        out += f""",
+I{d} AS (SELECT target AS id, list({{'c': 0.0::DOUBLE, 'p': confidence, 'w': weight, 't': edge_type}} ORDER BY source, edge_type, weight) AS es FROM F{d - 1} JOIN S ON id = source GROUP BY target),
+M{d} AS MATERIALIZED (SELECT I{d}.id, K{d - 1}.id IS NULL AS fresh, list_reduce(es, lambda c, e: {{'c': ({fold})::DOUBLE, 'p': 0.0::DOUBLE, 'w': 0.0::DOUBLE, 't': ''}}, {{'c': coalesce(K{d - 1}.confidence, 1.0::DOUBLE), 'p': 0.0::DOUBLE, 'w': 0.0::DOUBLE, 't': ''}}).c AS confidence FROM I{d} LEFT JOIN K{d - 1} ON I{d}.id = K{d - 1}.id),
+K{d} AS MATERIALIZED (SELECT id, confidence FROM M{d} UNION ALL SELECT * FROM K{d - 1} WHERE id NOT IN (SELECT id FROM M{d})), F{d} AS (SELECT id, confidence FROM M{d} WHERE fresh)"""
+    return out + f" SELECT id, round(confidence, 6) AS confidence FROM K{depth}"
+
+
+@query("belief_propagation", belief_sql(3, 0.4, 5))
 def belief_propagation(spark, sf):
     return graph.propagate_belief(fx.edges(spark, sf), 3, 0.4).select("id", F.round("confidence", 6).alias("confidence"))
 

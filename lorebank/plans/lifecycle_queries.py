@@ -78,12 +78,34 @@ def consolidate_clusters(spark, sf):
     return lifecycle.consolidated(rows, roots).select("root", F.sha2("content", 256).alias("content"))
 
 
-@query("consolidate_statement")
+DUE = f"""DU AS (SELECT id, content, confidence, embedding FROM MV WHERE confidence > 0.3::DOUBLE AND memory_type = 'Episodic' AND {NOW} - created_at_us > {DAY} AND access_count > 2),
+DP AS (SELECT a.id AS a, b.id AS b FROM DU a JOIN DU b ON a.id < b.id AND list_cosine_similarity(a.embedding, b.embedding) > 0.3), DX AS MATERIALIZED (SELECT a AS x, b AS y FROM DP UNION ALL SELECT b, a FROM DP),
+DW(id, root) AS (SELECT x, x FROM DX UNION SELECT y, root FROM DW JOIN DX ON x = id), DC AS (SELECT id, min(root) AS root FROM DW GROUP BY id),
+D0 AS (SELECT root, DC.id, string_split(content, '.') AS parts FROM DC JOIN DU USING (id)),
+D1 AS (SELECT root, id, unnest(range(1, len(parts) + 1)) AS pos, unnest(list_transform(parts, lambda s: trim(s))) AS sentence FROM D0),
+D2 AS (SELECT root, id, pos, lower(sentence) AS s FROM D1 WHERE sentence <> '' QUALIFY row_number() OVER (PARTITION BY root, lower(sentence) ORDER BY id, pos) = 1)"""
+
+
+@query("consolidate_statement", f"WITH RECURSIVE {fx.MV_SQL}, {DUE} SELECT root, string_agg(s, '. ' ORDER BY D2.id, pos) AS content, any_value(members) AS members FROM D2 JOIN (SELECT root, count(*) AS members FROM DC GROUP BY root) USING (root) GROUP BY root")
 def consolidate_statement(spark, sf):
     return mql.run("CONSOLIDATE WHERE confidence > 0.3", engine(spark, sf, cluster_above=0.3)).select("root", "content", "members")
 
 
-@query("compression")
+def compressed_sql() -> str:
+    """Per paragraph the first sentence and those with a keyword, each without the first use of every filler."""
+    quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    strip = f"list_reduce([{quoted(tx.FILLERS)}], lambda s, f: CASE WHEN instr(lower(s), f) > 0 AND length(lower(s)) = length(s) THEN replace_first(s, substr(s, instr(lower(s), f), length(f))) ELSE s END, s)"
+    strip = strip.replace("replace_first(s, substr(s, instr(lower(s), f), length(f)))", "substr(s, 1, instr(s, substr(s, instr(lower(s), f), length(f))) - 1) || substr(s, instr(s, substr(s, instr(lower(s), f), length(f))) + length(f))")
+    return f"""{W_MV}, P0 AS (SELECT id, content, unnest(range(0, len(ps))) AS p, unnest(ps) AS text FROM (SELECT id, content, string_split(content, chr(10) || chr(10)) AS ps FROM MV)),
+P1 AS (SELECT id, p, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS ss FROM P0),
+P2 AS (SELECT id, p, unnest(range(0, len(ss))) AS k, unnest(ss) AS s FROM P1),
+P3 AS (SELECT id, p, k, trim(regexp_replace({strip}, '\\s+', ' ', 'g')) AS s FROM P2 WHERE k = 0 OR len(list_filter([{quoted(tx.KEY_WORDS)}], lambda w: contains(lower(s), w))) > 0),
+P4 AS (SELECT id, s, p, k FROM P3 WHERE s <> '' QUALIFY row_number() OVER (PARTITION BY id, s ORDER BY p, k) = 1),
+P5 AS (SELECT id, string_agg(s, '. ' ORDER BY p, k) AS c FROM P4 GROUP BY id)
+SELECT id, sha256(coalesce(c, '')) AS compressed, round(strlen(coalesce(c, ''))::DOUBLE / greatest(strlen(content), 1), 6) AS ratio FROM MV LEFT JOIN P5 USING (id)"""
+
+
+@query("compression", compressed_sql())
 def compression(spark, sf):
     return lifecycle.compressed(fx.vector_memories(spark, sf)).select("id", F.sha2("compressed", 256).alias("compressed"), r6("ratio"))
 
@@ -315,9 +337,9 @@ def resource_usage(spark, sf):
     return policies.usage(fx.memories(spark, sf), 50_000, 1_000_000).select("memories", "bytes", r6("utilisation"))
 
 
-@query("agent_over_limit", f"{W_M} SELECT agent_id, count(*) AS memories FROM M GROUP BY agent_id HAVING count(*) > 100")
+@query("agent_over_limit", f"{W_M} SELECT agent_id, count(*) AS memories FROM M GROUP BY agent_id HAVING count(*) > 5")
 def agent_over_limit(spark, sf):
-    return policies.over_limit(fx.memories(spark, sf), 100)
+    return policies.over_limit(fx.memories(spark, sf), 5)
 
 
 @query("upsert_latest", f"{W_M}, U AS (SELECT id, content, created_at_us, 0 AS v FROM M UNION ALL SELECT id, 'new', {NOW}, 1 FROM M WHERE memory_type = 'Correction') SELECT id, arg_max(content, v) AS content, arg_min(created_at_us, v) AS created_at_us FROM U GROUP BY id")

@@ -75,9 +75,14 @@ def recall_tag_all(spark, sf):
     return mql.run('RECALL WHERE tag = "click" AND tag = "b2"', engine(spark, sf, False)).select("id", "memory_type")
 
 
-@query("tags_repeated_request", f"{W_M} SELECT id FROM M WHERE false")
+@query("tags_repeated_request", f"{W_M} SELECT 'once' AS request, id FROM M WHERE list_contains(tags, 'click') UNION ALL SELECT 'two', id FROM M WHERE list_contains(tags, 'click') AND list_contains(tags, 'b1')")
 def tags_repeated_request(spark, sf):
-    return fx.memories(spark, sf).where(filters.tags_all(["click", "click"])).select("id")
+    """A request that repeats a tag matches nothing, where its parts match."""
+    m, out = fx.memories(spark, sf), None
+    for name, tags in (("once", ["click"]), ("two", ["click", "b1"]), ("repeated", ["click", "click"]), ("none", [])):
+        rows = m.where(filters.tags_all(tags)).select(F.lit(name).alias("request"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("tag_prefix", f"{W_M} SELECT id FROM M WHERE len(list_filter(tags, lambda t: starts_with(t, 'pur'))) > 0")
