@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,9 +20,11 @@ from lorebank.operators import retrieval
 Judge = Callable[[str], str]
 
 # Weights of the lists and their sizes.
-WEIGHTS = {"main": 1.0, "keywords": 1.0, "broad": 0.4, "activation": 0.6, "categorical": 1.5, "window": 1.8, "contextual": 1.2, "preference": 1.5, "recency": 2.0, "date": 2.0}
+WEIGHTS = {"main": 1.0, "query": 1.0, "nouns": 1.0, "keywords": 1.0, "broad": 0.4, "activation": 0.6, "categorical": 1.5, "window": 1.8, "contextual": 1.2, "preference": 1.5, "recency": 2.0, "date": 2.0}
 CATEGORY_ATTRIBUTE, CATEGORY_TAG, PREFERENCE_K, GAP_K, KEEP_FROM = 1.0, 1.2, 40, 8, 1
 PREFERENCES = ("user preferences about {0}", "what the user likes or dislikes about {0}", "user experience with {0}", "user interests related to {0}")
+COUNTING = ("how many", "how much", "total", "number of", "count", "in all", "altogether")
+PER_KEYWORD = 15
 VERDICTS = ("keep", "update", "enrich", "invalidate")
 CONTRADICTION_VERDICTS = ("compatible", "contradicts", "supersedes")
 CONSOLIDATION = ("keep_all", "merge", "deduplicate")
@@ -32,6 +35,47 @@ def preference_queries(question: str) -> list[str]:
     return [p.format(question) for p in PREFERENCES]
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What a question is searched by besides itself."""
+
+    queries: Sequence[str] = ()
+    nouns: str = ""
+    items: Sequence[str] = ()
+    broad: Sequence[str] = ()
+
+
+def is_counting(question: str) -> bool:
+    """Whether a question asks for a number or a total."""
+    q = question.lower()
+    return any(cue in q for cue in COUNTING)
+
+
+def take_apart(question: str, judge: Judge | None) -> Parts:
+    """A judge's sub-queries, key nouns and, for a counting question, item and category words; nothing without one.
+
+    The judge answers with a JSON object; what it leaves out or misspells is left out.
+    """
+    if judge is None:
+        return Parts()
+    answer = judge(f"Take the question apart for retrieval. Answer with a JSON object with the keys queries (list), nouns (text), items (list) and broad (list).\nQuestion: {question}")
+    start = answer.find("{")
+    try:
+        found, _ = json.JSONDecoder().raw_decode(answer, start) if start >= 0 else ({}, 0)
+    except ValueError:
+        found = {}
+    listed = lambda name: tuple(str(x).strip() for x in found.get(name) or () if str(x).strip()) if isinstance(found.get(name), list) else ()
+    nouns = found.get("nouns")
+    counting = is_counting(question)
+    return Parts(listed("queries"), nouns.strip() if isinstance(nouns, str) else "", listed("items") if counting else (), listed("broad") if counting else ())
+
+
+def category_names(parts: Parts) -> list[str]:
+    """Category terms of the item and broad words: as they are, and without a plural s."""
+    out = [w.lower().replace(" ", "_") for w in parts.broad]
+    return sorted({*out, *(w.lower().replace(" ", "_").rstrip("s") for w in (*parts.broad, *parts.items))})
+
+
 def categorical(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """id and score of rows of a category: by their attribute (1.0) or a context tag (1.2), the better counts."""
     wanted = [n.strip().lower().replace(" ", "_") for n in names if n.strip()]

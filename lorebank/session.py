@@ -14,13 +14,17 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebank.operators import context, entities, graph, lifecycle, pairs, policies, retrieval
+from lorebank.functions.text import mapped_type
+from lorebank.operators import context, entities, expansion, extraction, graph, lifecycle, pairs, policies, retrieval, signals
 from lorebank.plans import mql
 from lorebank.runtime import durable
 from lorebank.sources.store import Tables, latest_view
-from lorebank.types import EDGE, MEMORY, MEMORY_TYPES
+from lorebank.streaming.events import EventBus
+from lorebank.types import AGENT, EDGE, MEMORY, MEMORY_TYPES, valid_at
 
 Embed = Callable[[str], Sequence[float]]
+#: Rows of spreading activation that are ranked.
+ACTIVATED = 200
 
 
 class DimensionError(ValueError):
@@ -30,10 +34,27 @@ class DimensionError(ValueError):
 class Lorebank:
     """One store under a folder that all executors can reach."""
 
-    def __init__(self, spark: SparkSession, folder: str, embed: Embed | None = None, extract: Callable[[str], str] | None = None):
-        self.spark, self.embed, self.extractor = spark, embed, extract
-        self.tables = Tables(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, embed: Embed | None = None, extract: Callable[[str], str] | None = None, judge: Callable[[str], str] | None = None):
+        self.spark, self.embed, self.extractor, self.judge = spark, embed, extract, judge
+        self._tables: Tables | None = Tables(spark, folder)
         self.dim: int | None = None
+        self.events = EventBus()
+
+    @property
+    def tables(self) -> Tables:
+        if self._tables is None:
+            raise RuntimeError("the store is closed")
+        return self._tables
+
+    def close(self) -> None:
+        """Every write is on storage when its call returns; later calls are an error. Closing twice is none."""
+        self._tables = None
+
+    def __enter__(self) -> Lorebank:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     # Views.
 
@@ -57,6 +78,7 @@ class Lorebank:
     def _log(self, rows: DataFrame, kind: str, now: int) -> None:
         columns = {"operation_type": F.lit(kind), "created_at_us": F.lit(now)}
         self.tables.operations.append(rows.withColumns(columns))
+        self.events.publish(kind, rows)
 
     def store(self, content: str, memory_type: str = "Episodic", embedding: Sequence[float] | None = None, tags: Sequence[str] = (), agent_id: str = "default", **fields) -> str:
         """Store one memory; its id."""
@@ -103,11 +125,14 @@ class Lorebank:
         self.tables.derived["aliases"].upsert(found.select(key.alias("entity_id"), F.explode(F.array("canonical", F.lower("canonical"))).alias("alias"), "confidence").groupBy("entity_id", "alias").agg(F.max("confidence").alias("confidence")))
         self.tables.derived["memory_entities"].replace(found.select(F.col("id").alias("memory_id"), key.alias("entity_id"), "role", "confidence"), by="memory_id")
 
-    def entity_boost(self, text: str) -> DataFrame:
+    def entity_boost(self, text: str, now_us: int | None = None) -> DataFrame:
         """id and boost of the memories that a question's entities lead to."""
         t = self.tables.derived
+        now = now_us or time.time_ns() // 1000
         hit = entities.matched_aliases(self.spark, text, t["aliases"].rows())
-        return entities.recall_boost(hit, t["memory_entities"].rows(), relationships=t["relationships"].rows())
+        live = (F.coalesce("status", F.lit("active")) == "active") & valid_at(now)
+        own = t["claims"].rows().where(live).select("claim_id", F.col("subject_id").alias("entity_id"), "confidence")
+        return entities.recall_boost(hit, t["memory_entities"].rows(), own, t["claim_evidence"].rows(), t["relationships"].rows().where(live), t["relationship_evidence"].rows())
 
     def search_traced(self, text: str, k: int = 10, trace_id: str | None = None, retain: int = 200) -> DataFrame:
         """A hybrid search whose ranks are kept; the newest ``retain`` traces stay."""
@@ -175,7 +200,7 @@ class Lorebank:
 
     def clusters(self, above: float = 0.85) -> DataFrame:
         """id and root of similar memories, by exact comparison in blocks."""
-        numbered = self.memories().where("embedding is not null").withColumn("n", F.monotonically_increasing_id())
+        numbered = durable(self.memories().where("embedding is not null").select("id", "embedding").withColumn("n", F.monotonically_increasing_id()))
         roots = pairs.components(pairs.similar_pairs(numbered, above, id_col="n"))
         named = numbered.select("n", "id")
         return roots.join(named, roots.id == named.n).select(named.id.alias("id"), "root")
@@ -215,32 +240,67 @@ class Lorebank:
         lists = [retrieval.recall(rows, edges, self._vector(t, None), t, k, now, start_us=0 if before is not None else None, end_us=before) for t in texts]
         return retrieval.multi_query(lists, k)
 
-    def search_expanded(self, text: str, k: int = 20, reference_us: int | None = None, expand: Callable[[str], Sequence[str]] | None = None, now_us: int | None = None) -> DataFrame:
-        """Several weighted lists for one question, fused by rank; expansion is a callable, none by default."""
-        from lorebank.operators import signals
+    def search_expanded(self, text: str, k: int = 20, reference_us: int | None = None, expand: Callable[[str], Sequence[str]] | None = None, now_us: int | None = None, before: int | None = None) -> DataFrame:
+        """id and score: several weighted lists for one question, fused by rank.
 
+        The lists are the question, the judge's parts of it (sub-queries, key nouns, words to count by and
+        their categories), what ``expand`` adds, spreading activation, a window of time, the newest hits,
+        names among the best hits and preferences, as the question asks for them. With a judge, what it
+        finds missing is searched in a second round, and it rates the result.
+        """
         rows, edges, now = self.memories(), self.edges(), now_us or time.time_ns() // 1000
-        vector = self._vector(text, None)
-        wanted = signals.intent(text)
-        main = retrieval.recall(rows, edges, vector, text, 2 * k, now)
-        lists = [(retrieval.ranked(main), 1.0)]
-        for other in expand(text) if expand else ():
-            lists.append((retrieval.ranked(retrieval.recall(rows, edges, self._vector(other, None), other, k, now)), 1.0))
+        if before is not None:
+            rows = rows.where(F.col("created_at_us") <= before)
+        wanted, parts, vector = signals.intent(text), expansion.take_apart(text, self.judge), self._vector(text, None)
+
+        def found(query: str, most: int, start: int | None = None, end: int | None = None) -> DataFrame:
+            return retrieval.recall(rows, edges, self._vector(query, None), query, most, now, start_us=start, end_us=end)
+
+        lists = {"main": found(text, 2 * k)}
+        lists |= {f"query:{i}": found(q, k) for i, q in enumerate((*parts.queries, *(expand(text) if expand else ())))}
+        if parts.nouns:
+            lists["nouns"] = found(parts.nouns, k)
+        lists |= {f"keywords:{i}": found(q, expansion.PER_KEYWORD) for i, q in enumerate(parts.items)}
+        lists |= {f"broad:{i}": found(q, expansion.PER_KEYWORD) for i, q in enumerate(parts.broad)}
+        if names := expansion.category_names(parts):
+            lists["categorical"] = retrieval.top(expansion.categorical(rows, names), "score", expansion.PREFERENCE_K)
         if vector is not None:
-            near = retrieval.spreading_activation(rows.where("embedding is not null"), edges, vector).withColumnRenamed("activation", "score")
-            lists.append((retrieval.ranked(near.select("id", "score")), 0.6))
+            near = retrieval.spreading_activation(rows.where("embedding is not null"), edges, vector)
+            lists["activation"] = retrieval.top(near.select("id", F.col("activation").alias("score")), "score", ACTIVATED)
+        target = None
         if wanted.temporal and reference_us and (window := signals.time_window(text, reference_us)):
-            lists.append((retrieval.ranked(retrieval.recall(rows, edges, vector, text, 20, now, start_us=window[1], end_us=window[2])), 1.8))
+            target = window[0]
+            lists["window"] = found(text, 20, window[1], window[2])
+        if wanted.ordering and reference_us and (wide := signals.ordering_window(text, reference_us)):
+            lists["date"] = found(text, expansion.PREFERENCE_K, *wide)
         if wanted.knowledge_update:
-            latest = retrieval.newest(main, rows).select("id", F.col("created_at_us").cast("double").alias("score"))
-            lists.append((retrieval.ranked(latest), 2.0))
+            latest = retrieval.newest(lists["main"], rows)
+            lists["recency"] = latest.select("id", F.col("created_at_us").cast("double").alias("score"))
         if wanted.contextual:
-            names = main.limit(5).join(rows, "id").select(F.explode(signals.follow_up_words("content")).alias("w")).distinct().orderBy("w").limit(10)
-            follow = " ".join(r.w for r in names.collect())
-            if follow:
-                lists.append((retrieval.ranked(retrieval.recall(rows, edges, self._vector(follow, None), None, 20, now)), 1.2))
+            names = lists["main"].limit(5).join(rows, "id").select(F.explode(signals.follow_up_words("content")).alias("w")).distinct().orderBy("w").limit(10)
+            if follow := " ".join(r.w for r in names.collect()):
+                lists["contextual"] = retrieval.recall(rows, edges, self._vector(follow, None), None, 20, now)
+        if wanted.preference:
+            lists |= {f"preference:{i}": found(q, expansion.PREFERENCE_K) for i, q in enumerate(expansion.preference_queries(text))}
         final = max(k, 120) if wanted.temporal else k
-        return retrieval.top(retrieval.rrf(lists).withColumnRenamed("rrf", "score"), "score", final)
+        hits = expansion.fuse(lists, final)
+        if self.judge is not None:
+            shown = hits.limit(20).join(rows.select("id", "content"), "id").orderBy(F.desc("score"), "id").select("content").collect()
+            answer = self.judge("Which search terms would find what is missing to answer the question? Answer with a JSON array of texts.\n" + f"Question: {text}\n" + "\n".join(r.content for r in shown))
+            if gaps := expansion.gap_terms(answer):
+                hits = expansion.second_round(hits, [found(g, expansion.GAP_K) for g in gaps], final)
+        if wanted.knowledge_update or target is not None:
+            dated = hits.join(rows.select("id", "created_at_us"), "id")
+            score = F.col("score")
+            if wanted.knowledge_update:
+                score = retrieval.recency_boost(score, F.col("created_at_us"), reference_us or now)
+            if target is not None:
+                score = retrieval.proximity_boost(score, F.col("created_at_us"), target)
+            hits = retrieval.top(dated.select("id", score.alias("score")), "score", final)
+        if self.judge is None:
+            return hits
+        rated = expansion.judged(durable(hits.join(rows.select("id", "content"), "id")).orderBy(F.desc("score"), "id"), text, self.judge)
+        return rated.select("id", F.col("judged").cast("double").alias("score"))
 
     def entity_memories(self, entity: str) -> DataFrame:
         """Memories tagged with an entity or extracted from their fields."""
@@ -266,15 +326,102 @@ class Lorebank:
 
     def ingest(self, conversation: str, least_confidence: float = 0.6, **fields) -> list[str]:
         """Store the extracted memories that are sure enough."""
-        from lorebank.functions.text import mapped_type  # the same mapping as the column function
+        return self.store_extracted(self.extract(conversation), least_confidence, **fields)
 
-        found = [m for m in self.extract(conversation).get("memories", []) if m.get("confidence", 0.5) >= least_confidence]
+    def store_extracted(self, extracted: dict | Iterable[dict], least_confidence: float = 0.0, **fields) -> list[str]:
+        """Store memories that ``extract`` found, or a list of them; the ids of those that are sure enough."""
+        every = extracted.get("memories", []) if isinstance(extracted, dict) else list(extracted)
+        found = [m for m in every if m.get("confidence", 0.5) >= least_confidence]
         if not found:
             return []
         kinds = self.spark.createDataFrame([(i, m.get("memory_type") or "") for i, m in enumerate(found)], "i int, k string").select("i", mapped_type("k").alias("t")).collect()
         types = {r.i: r.t for r in kinds}
         return self.store_many([{"content": m["content"], "memory_type": types[i], "tags": m.get("tags") or (), "salience": m.get("confidence", 0.5), "confidence": m.get("confidence", 0.5), **fields} for i, m in enumerate(found)])
 
+    def consolidate_cluster(self, ids: Sequence[str], now_us: int | None = None) -> str:
+        """Merge memories into one: store it, end the validity of its sources, join it to them, and log all of it."""
+        now = now_us or time.time_ns() // 1000
+        own = durable(self.memories().where(F.col("id").isin(*ids)))
+        if own.count() < 2:
+            raise ValueError("consolidation needs two memories or more")
+        merged = lifecycle.consolidated(own, own.select("id", F.lit(0).cast("long").alias("root"))).head()
+        with_vector = own.where("embedding is not null").withColumn("root", F.lit(0))
+        mean = [r.value for r in pairs.mean_embedding(with_vector, "root").orderBy("pos").collect()]
+        agent = own.orderBy("created_at_us", "id").head().agent_id
+        new = self.store(merged.content, merged.memory_type, mean or None, agent_id=agent, confidence=merged.confidence, created_at_us=now)
+        log = lambda rows, reason: rows.select(F.lit("consolidated").alias("event_type"), F.col("id").alias("memory_id"), F.lit(reason).alias("reason"), F.lit("consolidation").alias("policy"), F.lit(now).alias("created_at_us"))
+        self.tables.lifecycle.append(log(self.spark.createDataFrame([(new,)], "id string"), "consolidated_memory_created"))
+        self.update(own.withColumn("valid_until_us", F.lit(now)), "invalidated", "invalidate", now)
+        edges = own.select(F.lit(new).alias("source"), F.col("id").alias("target"), F.lit("Derived").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(now).alias("created_at_us"))
+        self.tables.edges.append(edges)
+        self._log(edges.select("source", "target"), "relate", now)
+        self.tables.lifecycle.append(log(own, "merged_into_consolidated_memory"))
+        return new
+
+    def build_communities(self, least: int = 2, now_us: int | None = None) -> list[str]:
+        """Store a summary of each type of entities with ``least`` names or more, in place of the last ones; their ids."""
+        own = self.memories().where(~F.array_contains("tags", "community_summary"))
+        groups = entities.categories(entities.structured_entities(own), least).orderBy("entity_type").collect()
+        texts = [f"{g.entity_type}: {', '.join(g.names)}" for g in groups]
+        if self.judge is not None:
+            texts = [self.judge(f"Summarise this group of entities in a sentence.\n{t}") for t in texts]
+        ids = [f"community:{g.entity_type}" for g in groups]
+        fields = {"created_at_us": now_us} if now_us else {}
+        if ids:
+            self.store_many([{"id": i, "content": t, "memory_type": "Semantic", "tags": ["community_summary"], **fields} for i, t in zip(ids, texts, strict=True)])
+        return ids
+
+    def run_enrichment(self, since_us: int = 0, batch: int = 10, skip_extraction: bool = False, now_us: int | None = None) -> dict[str, int]:
+        """Extraction over what is new, entity links, communities and the user's profile; counts of what was written."""
+        now = now_us or time.time_ns() // 1000
+        out = dict.fromkeys(("memories_stored", "edges_created", "duplicates_skipped", "entities_linked", "communities_created", "profile_facts"), 0)
+        own = durable(self.memories())
+        if not skip_extraction and self.extractor is not None:
+            answers = durable(extraction.enrichment_run(own, since_us, self.extractor, batch))
+            rows = extraction.memories_of(extraction.parse(answers.withColumn("id", F.col("batch")), "answer")).withColumnRenamed("id", "batch")
+            rows = rows.where(F.col("confidence") >= extraction.QUALITY).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+            known = own.select(F.lower("content").alias("k")).distinct()
+            fresh = extraction.enriched(rows).withColumn("k", F.lower("content")).dropDuplicates(["k"])
+            new = durable(fresh.join(known, "k", "left_anti").withColumn("id", F.sha2(F.concat_ws(":", F.lit("enriched"), "batch", "k"), 256)))
+            out["memories_stored"], kept = new.count(), rows.count()
+            out["duplicates_skipped"] = kept - out["memories_stored"]
+            if out["memories_stored"]:
+                stored = new.select("id", "memory_type", "content", "confidence", "tags", F.lit("default").alias("agent_id"), F.lit(now).alias("created_at_us"), F.lit(now).alias("accessed_at_us"), F.lit(0).alias("access_count"), F.col("confidence").alias("salience"))
+                self.tables.memories.append(stored)
+                self._log(stored.select(F.col("id").alias("memory_id")), "store", now)
+                sources = answers.select("batch", F.explode("ids").alias("id"))
+                edges = extraction.derived_edges(new, sources, now)
+                self.tables.edges.append(edges)
+                out["edges_created"] = edges.count()
+        out["entities_linked"] = self.link_entities(now)
+        out["communities_created"] = len(self.build_communities(now_us=now))
+        profile = [r.content for r in extraction.profile_facts(self.memories().where(~F.array_contains("tags", "community_summary") & ~F.array_contains("tags", "user_profile"))).collect()]
+        if profile:
+            self.store_many([{"id": "profile:user", "content": "\n".join(profile), "memory_type": "Semantic", "tags": ["user_profile"], "created_at_us": now}])
+        out["profile_facts"] = len(profile)
+        return out
+
+    # Agents.
+
+    def register_agent(self, name: str, now_us: int | None = None) -> str:
+        """A new agent's id."""
+        agent = str(uuid.uuid4())
+        self.tables.derived["agents"].upsert(self.spark.createDataFrame([(agent, name, None, "{}", now_us or time.time_ns() // 1000)], AGENT))
+        return agent
+
+    def agents(self) -> DataFrame:
+        return self.tables.derived["agents"].rows()
+
+    def remove_agent(self, agent_id: str) -> None:
+        self.tables.derived["agents"].delete(self.spark.createDataFrame([(agent_id,)], "agent_id string"))
+
+    def set_agent_metadata(self, agent_id: str, key: str, value: str) -> None:
+        """Set one key; an unknown agent stays unknown."""
+        row = self.agents().where(F.col("agent_id") == agent_id).head()
+        if row is not None:
+            body = json.dumps(json.loads(row.metadata or "{}") | {key: value}, sort_keys=True)
+            self.tables.derived["agents"].upsert(self.spark.createDataFrame([(agent_id, row.name, row.default_space, body, row.created_at_us)], AGENT))
+
     def traverse(self, start: str, depth: int, kinds: Sequence[str] | None = None) -> DataFrame:
         return graph.bfs(self.edges(), self.get_memory(start).select("id"), depth, kinds)
 

@@ -87,10 +87,10 @@ class KeyedTable(Log):
 DERIVED = (
     ("sources", types.SOURCE, ("memory_id", "source_type")), ("entities", types.ENTITY, ("entity_id",)), ("aliases", types.ALIAS, ("entity_id", "alias")), ("memory_entities", types.MEMORY_ENTITY, ("memory_id", "entity_id", "role")),
     ("claims", types.CLAIM, ("claim_id",)), ("claim_evidence", types.CLAIM_EVIDENCE, ("claim_id", "memory_id")), ("relationships", types.RELATIONSHIP, ("relationship_id",)), ("policy_runs", types.POLICY_RUN, ("run_id",)),
-    ("policy_actions", types.POLICY_ACTION, ("run_id", "memory_id", "action")), ("extraction_runs", types.EXTRACTION_RUN, ("run_id",)), ("traces", types.TRACE, ("trace_id",)), ("trace_hits", types.TRACE_HIT, ("trace_id", "rank")), ("snapshots", types.SNAPSHOT, ("name",)),
+    ("policy_actions", types.POLICY_ACTION, ("run_id", "memory_id", "action")), ("extraction_runs", types.EXTRACTION_RUN, ("run_id",)), ("traces", types.TRACE, ("trace_id",)), ("relationship_evidence", types.RELATIONSHIP_EVIDENCE, ("relationship_id", "memory_id")), ("agents", types.AGENT, ("agent_id",)), ("trace_hits", types.TRACE_HIT, ("trace_id", "rank")), ("snapshots", types.SNAPSHOT, ("name",)),
 )
 #: Tables whose rows go with a memory, and the column that names it.
-DEPENDENT = (("sources", "memory_id"), ("memory_entities", "memory_id"), ("claim_evidence", "memory_id"))
+DEPENDENT = (("sources", "memory_id"), ("memory_entities", "memory_id"), ("claim_evidence", "memory_id"), ("relationship_evidence", "memory_id"))
 
 
 class Tables:

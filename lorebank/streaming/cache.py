@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,27 @@ from lorebank.functions.vectors import cosine_to
 VECTOR_HIT, WORD_HIT, ENTRIES = 0.4, 0.5, 10
 
 
+#: What a builder gives for a topic: a context, the ids of its memories and, if it has one, a vector; or nothing.
+Built = tuple[str, Sequence[str], Sequence[float] | None]
+
+
+def pre_assemble(entries: DataFrame, session_id, topics: Sequence[str], build: Callable[[str], Built | None], now_us: int) -> DataFrame:
+    """A session's entries with one more for each predicted topic that has none and that the builder has something for.
+
+    Predictions are a handful; each is built once, on the driver. Entries: session_id, topic, context,
+    memory_ids, embedding, used_us.
+    """
+    spark, schema = entries.sparkSession, entries.schema
+    known = {r.topic for r in entries.where(F.col("session_id") == session_id).select("topic").collect()}
+    rows = []
+    for topic in dict.fromkeys(topics):
+        if topic not in known and (made := build(topic)) is not None:
+            context, ids, vector = made
+            rows.append({"session_id": session_id, "topic": topic, "context": context, "memory_ids": list(ids), "embedding": None if vector is None else [float(x) for x in vector], "used_us": now_us})
+    new = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+    return newest_entries(entries.unionByName(new), now_us, now_us)
+
+
 def newest_entries(entries: DataFrame, now_us: int, max_age_us: int, keep: int = ENTRIES) -> DataFrame:
     """Entries (session_id, topic, used_us, ...) that are neither stale nor pushed out."""
     fresh = entries.where(F.lit(now_us) - F.col("used_us") <= max_age_us)

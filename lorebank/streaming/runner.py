@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,20 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
 
 
+def bounded_calls(rows: DataFrame, call: Callable[[str], str], text: str = "text", concurrent: int = 4, out: str = "answer") -> DataFrame:
+    """Rows with the answers of a slow callable, at most ``concurrent`` calls at a time.
+
+    With ``file_stream(..., files_per_batch=64)`` this is a bounded queue: what has not been read waits in
+    its files, and a batch that fails is read again.
+    """
+
+    @F.pandas_udf("string")
+    def answers(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: call(t) if isinstance(t, str) else None)
+
+    return rows.repartition(concurrent).withColumn(out, answers(F.col(text)))
+
+
 def run_to_end(stream: DataFrame, mode: str = "append", partitions: int | None = None) -> DataFrame:
     """All rows that a stream emits until its input is used up, with the number of their batch.
 

@@ -71,6 +71,66 @@ def buffered(events: DataFrame) -> DataFrame:
     return events.groupBy("stream_id").transformWithStateInPandas(TokenBuffer(), outputStructType="stream_id long, seq long, kind string, text string", outputMode="Append", timeMode="None")
 
 
+def check(text: str, facts: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(fact_id, kind) of the alerts that a text gives, by the rule of ``alerts``."""
+    lower, out = text.lower(), []
+    for fact_id, fact in facts:
+        keywords = [w for w in fact.lower().split() if len(w.encode()) >= 3]
+        if not keywords:
+            continue
+        share = sum(w in lower for w in keywords) / len(keywords)
+        if share > CONTRADICTION_SHARE and fact.lower() not in lower and any(n in lower for n in NEGATIONS):
+            out.append((fact_id, "contradiction"))
+        elif share > REINFORCEMENT_SHARE:
+            out.append((fact_id, "reinforcement"))
+    return out
+
+
+class Cognition(StatefulProcessor):
+    """State of one stream: its buffered text and the facts it was told; alerts after every token and turn."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "token string")
+        self.older = handle.getValueState("older", "text string")
+        self.facts = handle.getListState("facts", "fact_id long, fact string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = sorted((int(n), kind, int(i), text) for pdf in rows for n, kind, i, text in zip(pdf["seq"], pdf["kind"], pdf["fact_id"], pdf["text"], strict=True))
+        tokens = [t[0] for t in self.recent.get()] if self.recent.exists() else []
+        older = self.older.get()[0] if self.older.exists() else ""
+        facts = [(int(f[0]), f[1]) for f in self.facts.get()] if self.facts.exists() else []
+        out = []
+        for seq, kind, fact_id, text in events:
+            if kind == "known_fact":
+                facts.append((fact_id, text))
+            elif kind == "token":
+                tokens.append(text)
+                if len(tokens) > CAPACITY:
+                    older += tokens.pop(0)
+            elif kind == "flush":
+                out.append((key[0], seq, -1, "buffer_flushed", older + "".join(tokens)))
+                tokens, older = [], ""
+            if kind in ("token", "end_of_turn"):
+                out += [(key[0], seq, f, alert, "") for f, alert in check(older + "".join(tokens), facts)]
+        for state, values in ((self.recent, [(t,) for t in tokens]), (self.facts, facts)):
+            state.clear()
+            if values:
+                state.put(values)
+        self.older.update((older,))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "fact_id", "kind", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def cognition(events: DataFrame) -> DataFrame:
+    """Streaming alerts of events (stream_id, seq, kind, fact_id, text): token, known_fact, end_of_turn, flush.
+
+    Every stream has a fact list and a buffer of its own.
+    """
+    return events.groupBy("stream_id").transformWithStateInPandas(Cognition(), outputStructType="stream_id long, seq long, fact_id long, kind string, text string", outputMode="Append", timeMode="None")
+
+
 class ServedSet(StatefulProcessor):
     """Delta serving: per session the set served last; emits what a new set adds and removes."""
 

@@ -87,6 +87,10 @@ TRACE = _table(trace_id="string", query_text="string", k="int", fetch_k="int", c
 TRACE_HIT = _table(trace_id="string", rank="int", memory_id="string", score="double", vector_rank="int", bm25_rank="int", salience="double")
 SNAPSHOT = _table(name="string", format_version="int", body_json="string", created_at_us="long")
 
+RELATIONSHIP_EVIDENCE = _table(relationship_id="string", memory_id="string", confidence="double")
+AGENT = _table(agent_id="string", name="string", default_space="string", metadata="string", created_at_us="long")
+CACHE_ENTRY = _table(session_id="string", topic="string", context="string", memory_ids="string", used_us="long")
+
 EXTRACTION = T.StructType(
     [
         T.StructField("memories", T.ArrayType(T.StructType([
