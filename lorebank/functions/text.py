@@ -145,9 +145,18 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(*own)).cast("double") / union).otherwise(F.lit(0.0))
 
 
+def bare_words(text: Column | str) -> Column:
+    """Lower-cased words with punctuation trimmed."""
+    return F.filter(F.transform(words(F.lower(_column(text))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+
+
 def query_ngrams(text: Column | str, longest: int = 5) -> Column:
-    """Distinct n-grams of 1 to ``longest`` lower-cased words with punctuation trimmed."""
-    own = F.filter(F.transform(words(F.lower(_column(text))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+    """Distinct n-grams of 1 to ``longest`` bare words; for short texts, as every gram reads the text anew."""
+    return ngrams(bare_words(text), longest)
+
+
+def ngrams(own: Column, longest: int) -> Column:
+    """Distinct n-grams of 1 to ``longest`` entries of an array of words."""
 
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(own) - (n - 1))

@@ -20,6 +20,8 @@ LABELS = ("⚠️ Warnings & Corrections", "🎯 Critical Context", "📋 Primar
 CRITICAL_SCORE, CRITICAL_SALIENCE, PRIMARY_SCORE, SUPPORTING_SCORE = 0.8, 0.7, 0.5, 0.2
 SHARES = (10, 25, 35, 20, 10)
 BUDGET = 4096
+#: Characters of a numbered line without its text, and its line feed.
+LEAST_LINE = len("1.  (score 0.000)\n")
 
 
 def zone() -> Column:
@@ -131,8 +133,10 @@ def assemble_delta(previous: DataFrame, now: DataFrame, budget: int = BUDGET, he
 def bounded_list(rows: DataFrame, cap: int, text: str = "content") -> DataFrame:
     """Numbered lines with scores until the character cap; stops at the first line that does not fit.
 
-    A first line that alone is too long is cut. The rows are a ranked list of bounded length.
+    A first line that alone is too long is cut. No line is shorter than LEAST_LINE, so only the best rows that
+    could fit are ranked.
     """
+    rows = rows.orderBy(F.desc("score"), "id").limit(cap // LEAST_LINE + 1)
     order = Window.orderBy(F.desc("score"), "id")
     n = F.row_number().over(order)
     lines = rows.select("id", "score", n.alias("n"), F.concat(n.cast("string"), F.lit(". "), F.col(text), F.format_string(" (score %.3f)", F.col("score"))).alias("line"))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebank.functions.text import bare_words, ngrams
+
 DAY_US = 86_400_000_000
 
 # Cue lists of the query intents.
@@ -23,6 +25,7 @@ NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 UNIT_DAYS = (("day", 1), ("week", 7), ("month", 30), ("year", 365))
 NOT_NAMES = ("The", "This", "That", "With", "From", "About", "When", "What", "Where", "Which", "User", "They", "Their", "Have", "Been", "Will", "Would", "Could", "Should")
 MAX_WARNINGS = 5
+LONGEST_TERM = 5
 
 
 def pain_scores(signals: DataFrame, keywords: Sequence[str], now_us: int | None = None) -> DataFrame:
@@ -49,9 +52,8 @@ def registry_gaps(texts: DataFrame, registry: DataFrame, known: DataFrame) -> Da
     ``texts``: id, content; ``registry`` and ``known``: term. The registry is matched in one pass over
     the texts' word n-grams, so it may be large.
     """
-    from lorebank.functions.text import query_ngrams
-
-    grams = texts.select("id", F.explode(query_ngrams("content")).alias("gram"))
+    words = texts.select("id", bare_words("content").alias("w"))
+    grams = words.select("id", F.explode(ngrams(F.col("w"), LONGEST_TERM)).alias("gram"))
     terms = registry.select("term", F.lower("term").alias("gram")).dropDuplicates(["gram"])
     unknown = terms.join(known.select(F.lower("term").alias("gram")), "gram", "left_anti")
     return grams.join(unknown, "gram").select("id", "term", F.when(F.size(F.split("term", r"\s+")) > 1, "High").otherwise("Medium").alias("priority"))

@@ -88,10 +88,10 @@ def shortest_path_len(spark, sf):
     return spark.range(1).select(F.lit(None if path is None else len(path) - 1).cast("long").alias("hops")).where("hops is not null")
 
 
-@query("shortest_path_long", "SELECT CAST(unnest(range(0, 25)) AS BIGINT) AS hop, CAST(unnest(range(0, 25)) * 8 AS BIGINT) AS id")
+@query("shortest_path_long", "SELECT CAST(unnest(range(0, 19)) AS BIGINT) AS hop, CAST(unnest(range(0, 19)) * 8 AS BIGINT) AS id")
 def shortest_path_long(spark, sf):
-    """Along the edges of eight ids on, the only path has 24 hops."""
-    path = graph.shortest_path(fx.edges(spark, sf).where("target = source + 8"), 0, 192)
+    """Along the edges of eight ids on, the only path has 18 hops."""
+    path = graph.shortest_path(fx.edges(spark, sf).where("target = source + 8"), 0, 144)
     return spark.createDataFrame(list(enumerate(path)), "hop long, id long")
 
 
