@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebank.functions.text import words
@@ -157,6 +157,43 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float, id_col: s
     return a.unionByName(b).groupBy("i", "j").applyInPandas(join, "a long, b long, similarity double")
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """query, id, score and rank (from 0) of the k rows of greatest cosine to each query; ties by id.
+
+    Blocks of rows meet blocks of queries. A task keeps k rows for each of its queries, so what is ranked
+    in the end is k rows a query and block. A query among the rows finds itself.
+    """
+    sides = []
+    for side, df in enumerate((rows, queries)):
+        own = _vectors(df, id_col, vector_col).withColumn("side", F.lit(side))
+        n, longest = own.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        sides.append((own, max(1, -(-n // _block_rows(own, n, longest or 1)))))
+    (a, blocks_a), (b, blocks_b) = sides
+    a = a.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks_a)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))))
+    b = b.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(blocks_b)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for unit, same in _units(part):
+            ids, side = same["id"].to_numpy(), same["side"].to_numpy()
+            order = np.argsort(ids[side == 0], kind="stable")  # ties by id
+            row_ids, found, asked = ids[side == 0][order], unit[side == 0][order], unit[side == 1]
+            query_ids, most = ids[side == 1], min(k, len(order))
+            for at in range(0, len(asked) if most else 0, TILE[0]):
+                top_sims, top_rows = np.empty((len(asked[at : at + TILE[0]]), 0)), np.empty((len(asked[at : at + TILE[0]]), 0), np.int64)
+                for start in range(0, len(found), TILE[1]):
+                    sims = np.hstack([top_sims, asked[at : at + TILE[0]] @ found[start : start + TILE[1]].T])
+                    where = np.hstack([top_rows, np.broadcast_to(np.arange(start, min(start + TILE[1], len(found))), (len(sims), sims.shape[1] - top_sims.shape[1]))])
+                    first = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+                    top_sims, top_rows = np.take_along_axis(sims, first, 1), np.take_along_axis(where, first, 1)
+                out.append(pd.DataFrame({"query": np.repeat(query_ids[at : at + TILE[0]], top_rows.shape[1]), "id": row_ids[top_rows.ravel()], "score": top_sims.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+
+    found = a.unionByName(b).groupBy("i", "j").applyInPandas(best, "query long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place - 1).where(F.col("rank") < k)
+
+
 def pairs_within(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     """key, a and b: every pair a < b of the ids that share a key, once for each key.
 

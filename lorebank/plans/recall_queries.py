@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebank.operators import filters, retrieval
+from lorebank.operators import filters, pairs, retrieval
 from lorebank.plans import mql
 from lorebank.plans.registry import query
 from lorebank.sources import fixtures as fx
@@ -39,6 +39,14 @@ def knn_topk(spark, sf):
     return scored(retrieval.knn(fx.vector_memories(spark, sf), vector_of(spark, sf), 10))
 
 
+@query("knn_many", """WITH V AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT q.id AS query, V.id, round(list_cosine_similarity(V.e, q.e), 6) AS score, CAST(row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(V.e, q.e) DESC, V.id) - 1 AS INTEGER) AS rank FROM V, V q WHERE q.id % 20 = 0 QUALIFY rank < 10""")
+def knn_many(spark, sf):
+    """Many searches in one job: every vector whose id is divisible by 20, against all."""
+    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return pairs.nearest(v, v.where("id % 20 = 0"), 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("knn_filtered", f"""{W_MV}, {Q.format(0)} SELECT id, memory_type, round(greatest(0, least(1, list_cosine_similarity(embedding, e))), 6) AS score FROM MV, q
 WHERE memory_type = 'Semantic' AND salience > 0.2 AND list_contains(tags, 'en') ORDER BY list_cosine_similarity(embedding, e) DESC, id LIMIT 10""")
 def knn_filtered(spark, sf):

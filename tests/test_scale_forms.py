@@ -52,3 +52,21 @@ def test_paths_have_no_longest_length(spark):
     assert graph.shortest_path(chain, 30, 0) is None and graph.shortest_path(chain, 5, 5) == [5]
     found = {r.id: r.depth for r in graph.bfs(chain, spark.createDataFrame([(0,)], "id long"), 100).collect()}
     assert found == {k: k for k in range(41)} | {50: 1}
+
+
+def test_many_searches_equal_single_ones(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(pairs, "TILE", (4, 8))
+    rng = np.random.default_rng(3)
+    vectors = [rng.integers(-2, 3, 3).astype(float).tolist() for _ in range(120)] + [[1.0, 0.0], [0.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<double>")
+    got = {}
+    for r in pairs.nearest(df, df.where("id % 7 = 0 or id >= 120"), 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r.id, round(r.score, 9)))
+    for q in [*range(0, 120, 7), 120]:
+        unit = lambda v: np.array(v) / np.linalg.norm(v)
+        if not any(vectors[q]):
+            continue
+        fits = [(-round(float(unit(v) @ unit(vectors[q])), 9), k) for k, v in enumerate(vectors) if len(v) == len(vectors[q]) and any(v)]
+        assert [round(s, 6) for _, s in got[q]] == [round(-s, 6) for s, _ in sorted(fits)[:5]]
+    assert 121 not in got and len(got[120]) == 1
