@@ -56,6 +56,7 @@ BROADCAST_TERMS = 300_000
 #: Min-hash columns of a text and how many of them have to agree that texts are no copies, terms from which
 #: a text can be told to be a near copy, and the share of new entries that near copies stay below.
 SKETCH, AGREE, COPY_TERMS, COPY_SHARE = 9, 7, 16, 0.35
+COUNT_ERROR = 0.15
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -211,7 +212,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``, computed once: uid, doc_id, key (a digest of the text), base spans, values,
+    """One row per row of ``docs``, computed once: uid, doc_id, key (a digest of the text) and its hash, base spans, values,
     credentials, and for texts with values their terms and sketch."""
 
     @F.pandas_udf("base array<struct<start:long,kind:int,end:long>>, values array<string>, secrets array<struct<value:string,term:string>>, terms array<string>, sketch array<long>")
@@ -232,14 +233,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("key"), found(text).alias("f"))
-    return durable(rows.select("doc_id", "key", "f.*").withColumn("uid", F.monotonically_increasing_id()))
+    return durable(rows.select("doc_id", "key", "f.*").withColumns({"uid": F.monotonically_increasing_id(), "text_hash": F.xxhash64("key")}))
 
 
 def repeated(rows: DataFrame, *by: str, copies: bool = True) -> DataFrame:
-    """The columns ``by`` and n (rows) where at least two different texts (column key) have them, or without
-    ``copies`` two that are no near copies (column sketch)."""
-    entries = [] if copies else [F.approx_count_distinct("key").alias("texts"), *[F.approx_count_distinct(F.get("sketch", F.lit(k))).alias(f"s{k}") for k in range(SKETCH)]]
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("k0"), F.max("key").alias("k1"), *entries)
+    """The columns ``by`` and n (rows) where at least two different texts (column text_hash) have them, or without
+    ``copies`` two that are no near copies (column sketch). Distinct entries are counted in COUNT_ERROR's registers."""
+    entries = [] if copies else [F.approx_count_distinct("text_hash", COUNT_ERROR).alias("texts"), *[F.approx_count_distinct(F.get("sketch", F.lit(k)), COUNT_ERROR).alias(f"s{k}") for k in range(SKETCH)]]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("k0"), F.max("text_hash").alias("k1"), *entries)
     return counts.where((F.col("k0") < F.col("k1")) & (F.lit(True) if copies else independent())).select(*by, "n")
 
 
@@ -256,10 +257,10 @@ def independent() -> Column:
 def value_pairs(scanned: DataFrame, total: int) -> DataFrame:
     """value, term, n_c, n_tc of pairs that meet in two different texts and may still reach GENERALISE."""
     with_values = scanned.where(F.size("values") > 0)
-    held = with_values.select("uid", "key", "sketch", F.explode("values").alias("value"))
+    held = with_values.select("uid", "text_hash", "sketch", F.explode("values").alias("value"))
     # A value in every document has no content to disclose.
     held = durable(held.join(repeated(held, "value").withColumnRenamed("n", "n_c").where(F.col("n_c") < total), "value"))
-    words = with_values.join(held.select("uid").distinct(), "uid", "left_semi").select("uid", "key", "sketch", F.explode("terms").alias("term"))
+    words = with_values.join(held.select("uid").distinct(), "uid", "left_semi").select("uid", "text_hash", "sketch", F.explode("terms").alias("term"))
     least = repeated(words, "term").withColumnRenamed("n", "least")  # n(t) is at least that
     share = F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1.0 - GENERALISE)) * 1.000001
     met = words.join(least, "term").join(held.select("uid", "value", "n_c"), "uid").where(F.col("least") <= F.col("n_c") * share)
