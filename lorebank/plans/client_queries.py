@@ -354,7 +354,7 @@ def client_events(spark, sf):
     bank.relate(a, b)
     bank.events.unsubscribe(first)
     bank.store("4")
-    return spark.createDataFrame(heard, "kind string, n long").groupBy("kind").agg(F.sum("n").alias("n"))
+    return spark.createDataFrame(heard, "kind string, n long").groupBy("kind").agg(F.sum("n").cast("int").alias("n"))
 
 
 @query("client_policy_log", f"WITH {NB} SELECT id, 'invalidated' AS event_type, 'invalidate' AS policy, {NOW} AS at_us FROM NB WHERE k = 5 UNION ALL SELECT id, 'forgotten', 'forget', {NOW} FROM NB WHERE tag = 'r1'")
