@@ -127,12 +127,26 @@ def contradictions(edges: DataFrame, node) -> DataFrame:
     return direct.union(outgoing.join(supporting, "via").where(F.col("id") != node).select("id")).distinct()
 
 
+def on_cycles(steps: DataFrame, rounds: int = 4) -> DataFrame:
+    """Edges (source, target) without some that lie on no cycle: those that nothing leads to or that lead nowhere.
+
+    Each round takes off a layer, so trees and long tails are not walked; fewer rounds only leave more.
+    """
+    left = durable(steps)
+    for _ in range(rounds):
+        before = left.count()
+        left = durable(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        if left.count() == before:
+            break
+    return left
+
+
 def detect_cycles(edges: DataFrame, kinds: Sequence[str] | None = None, longest: int = 8) -> DataFrame:
     """Node sets (sorted arrays) of the simple cycles up to a length, each once.
 
     Paths start at a cycle's smallest node and visit larger ones only, so a cycle is found once.
     """
-    steps = of_types(edges, kinds).select("source", "target").distinct()
+    steps = on_cycles(of_types(edges, kinds).select("source", "target").distinct())
     paths = steps.select(F.col("source").alias("root"), F.col("target").alias("last"), F.array("source", "target").alias("path"))
     paths = paths.where(F.col("last") >= F.col("root"))
     found = paths.where(F.col("last") == F.col("root")).select(F.array("root").alias("cycle"))

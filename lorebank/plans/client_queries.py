@@ -366,6 +366,20 @@ def client_policy_log(spark, sf):
     return bank.lifecycle_events().select(F.col("memory_id").alias("id"), "event_type", "policy", F.col("created_at_us").alias("at_us"))
 
 
+@query("client_policy_run", f"""WITH {NB}, A AS (SELECT id, 'forget' AS policy, 'apply' AS mode, 'forgotten' AS action, 'applied' AS status, {NOW} AS valid_until_us FROM NB WHERE tag = 'r1'
+UNION ALL SELECT id, 'forget', 'preview', 'would_forgotten', 'planned', NULL FROM NB WHERE tag = 'r2') SELECT * FROM A""")
+def client_policy_run(spark, sf):
+    """One policy applied, one previewed, one cut off before its end, whose actions nobody sees."""
+    bank = bank_of(spark, sf)
+    ended = lambda tag: bank.memories().where(F.array_contains("tags", tag)).withColumn("valid_until_us", F.lit(NOW))
+    bank.run_policy("forget", ended("r1"), "forgotten", scope={"tag": "r1"}, now_us=NOW)
+    bank.run_policy("forget", ended("r2"), "forgotten", preview=True, scope={"tag": "r2"}, now_us=NOW)
+    t = bank.tables.derived
+    t["policy_runs"].upsert(spark.createDataFrame([("cut", "forget", "apply", "started")], "run_id string, policy string, mode string, status string"))
+    t["policy_actions"].upsert(spark.createDataFrame([("cut", "forgotten", "3", "applied")], "run_id string, action string, memory_id string, status string"))
+    return bank.policy_log().join(bank.memories().select(F.col("id").alias("memory_id"), "valid_until_us"), "memory_id").select(F.col("memory_id").alias("id"), "policy", "mode", "action", "status", "valid_until_us")
+
+
 @query("client_operations", f"WITH {NB} SELECT 'store' AS operation_type, id AS memory_id FROM NB UNION ALL SELECT 'relate', NULL UNION ALL SELECT 'forget', '3'")
 def client_operations(spark, sf):
     bank = bank_of(spark, sf)

@@ -20,7 +20,7 @@ from lorebank.plans import mql
 from lorebank.runtime import durable
 from lorebank.sources.store import Tables, latest_view
 from lorebank.streaming.events import EventBus
-from lorebank.types import AGENT, EDGE, MEMORY, MEMORY_TYPES, valid_at
+from lorebank.types import AGENT, EDGE, MEMORY, MEMORY_TYPES, POLICY_RUN, valid_at
 
 Embed = Callable[[str], Sequence[float]]
 #: Rows of spreading activation that are ranked.
@@ -169,6 +169,29 @@ class Lorebank:
         self.tables.memories.append(changed)
         self.tables.lifecycle.append(changed.select(F.lit(event).alias("event_type"), F.col("id").alias("memory_id"), F.lit(policy).alias("policy"), F.lit(now_us).alias("created_at_us")))
 
+    def run_policy(self, policy: str, changed: DataFrame, action: str, preview: bool = False, scope: dict | None = None, now_us: int | None = None) -> str:
+        """Run a policy over changed rows (all columns of a memory) and log it; the run's id. A preview changes nothing.
+
+        Several tables cannot be written at once, so the run is its own commit mark: it is logged as started,
+        then its actions, then the rows in one append, and last that it is done. Readers of ``policy_log``
+        see the actions of finished runs alone; a run that stays started was cut off, and running it again
+        with the same rows gives the same state.
+        """
+        now, run = now_us or time.time_ns() // 1000, str(uuid.uuid4())
+        t, rows = self.tables.derived, durable(changed)
+        head = lambda status: self.spark.createDataFrame([(run, policy, "preview" if preview else "apply", status, json.dumps(scope or {}, sort_keys=True), now)], POLICY_RUN)
+        t["policy_runs"].upsert(head("started"))
+        t["policy_actions"].upsert(policies.policy_actions(rows, run, action, not preview, now))
+        if not preview:
+            self.update(rows, action, policy, now)
+        t["policy_runs"].upsert(head("planned" if preview else "applied"))
+        return run
+
+    def policy_log(self) -> DataFrame:
+        """Actions of finished runs, with their policy and mode."""
+        done = self.tables.derived["policy_runs"].rows().where("status <> 'started'").select("run_id", "policy", "mode")
+        return self.tables.derived["policy_actions"].rows().join(done, "run_id")
+
     def invalidate(self, memory_id: str, at_us: int) -> None:
         self.update(self.memories().where(F.col("id") == memory_id).withColumn("valid_until_us", F.lit(at_us)), "invalidated", "invalidate", at_us)
 
