@@ -2,36 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from lorebank.runtime import durable, shared_folder
+
+__all__ = ["BLANKS", "bounded_batches", "durable", "fresh", "fresh_folder", "remove_folder", "whole_text"]
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
+#: The setting that bounds a batch of rows on its way to a Python worker, Spark's default for it, and ours.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session.
+def bounded_batches(spark: SparkSession) -> None:
+    """Ask for small Arrow batches in this session, unless it names a size of its own.
 
-    Only where the session names none and runs in one JVM (tests) is a local one set.
+    A worker holds a batch several times over, as bytes and as strings, and so does its executor; results
+    do not depend on the size. The setting has to last until the lazy result is computed.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lorebank-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -40,12 +38,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, f"_lb_{base}"

@@ -1,36 +1,16 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Every step is a grouped minimum, which is combined before its shuffle, and a join that adaptive
-execution may split where one node has very many neighbours. Each round is written to the shared
-folder; only a count and a checksum reach the driver.
-"""
+"""Connected components for the corpus operators, under their own column names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lorebank.llm.common import durable
 
-
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+from lorebank.operators.pairs import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of ``edges`` (two columns of type long)."""
-    left, right = edges.columns
-    oriented = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(F.col("a") != F.col("b")).distinct()
-    stars = durable(oriented)
-    before = _signature(stars)
-    while before[0]:
-        both = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = durable(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        stars = durable(joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
-        if (after := _signature(stars)) == before:
-            break
-        before = after
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    """node and component (its smallest node) of every node of ``edges`` (two columns of type long).
+
+    The engine's own components: alternating large-star and small-star steps, each written to the shared
+    folder; only a count and a checksum reach the driver.
+    """
+    return components(edges.toDF("a", "b")).toDF("node", "component")

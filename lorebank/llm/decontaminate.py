@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebank.llm.common import fresh
+from lorebank.llm.common import bounded_batches, fresh
 
 WINDOW = 13
 #: Characters of benchmark text in one search table; about 20 times as many bytes of Python objects.
@@ -138,6 +138,7 @@ def _merge_ranges(lists: Iterable[Iterable[int]]) -> list[int]:
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, out_col: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct column: n_words, ranges (hit word ranges as start, stop pairs), items."""
+    bounded_batches(docs.sparkSession)
     blocks = list(benchmark_blocks(benchmark, item_col, item_text_col))
     if len(blocks) == 1:
         return docs.withColumn(out_col, F.pandas_udf(_scanner(blocks[0], window), HITS)(F.col(text_col)))

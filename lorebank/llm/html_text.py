@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebank.llm.common import bounded_batches
+
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -430,6 +432,7 @@ def training_sample(pages: DataFrame, html_col: str = "html") -> list[str]:
 
 def extract(pages: DataFrame, out_col: str = "text", html_col: str = "html") -> DataFrame:
     """``pages`` with a column that holds each page's main text."""
+    bounded_batches(pages.sparkSession)
     weights = fit_weights(training_sample(pages, html_col))
 
     @F.pandas_udf("string")

@@ -34,6 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebank.llm.common import bounded_batches
+
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_TOTAL = 4000
@@ -263,6 +265,7 @@ def identify(docs: DataFrame, model: Model, out_col: str = "language", text_col:
     The prediction reads the text alone; ``stated_col`` is only held against it. An input column of the
     result's name is replaced.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, bits double, excess double")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebank.llm.common import durable
+from lorebank.llm.common import bounded_batches, durable
 
 WINDOW = 2048
 END_ID = 1
@@ -95,6 +95,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     # The id travels as a string, so that a null among numbers does not turn them into floats.

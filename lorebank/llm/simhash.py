@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebank.llm.common import durable, fresh
+from lorebank.llm.common import bounded_batches, durable, fresh
 from lorebank.llm.components import connected_components
 
 SHINGLE = 4
@@ -226,6 +226,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id and fp of every row, computed once."""
+    bounded_batches(docs.sparkSession)
     return durable(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_col, size).alias("fp")))
 
 
@@ -255,6 +256,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, more are joined by a shuffle. Where id and text repeat among the rows that stay, those rows are
     ordered by all their columns, and the first one stays.
     """
+    bounded_batches(docs.sparkSession)
     key, text_hash = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = durable(docs.select(key.alias("doc_id"), fingerprints(text_col, size).alias("fp"), text_hash.alias("text_hash")))
     near = classified(rows).where(F.col("doc_id").isNotNull())
