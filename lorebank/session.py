@@ -23,8 +23,8 @@ from lorebank.streaming.events import EventBus
 from lorebank.types import AGENT, EDGE, MEMORY, MEMORY_TYPES, POLICY_RUN, valid_at
 
 Embed = Callable[[str], Sequence[float]]
-#: Rows of spreading activation that are ranked.
-ACTIVATED = 200
+#: Rows of spreading activation that are ranked in one task; a rank beyond adds less than 0.0001 to a score.
+ACTIVATED = 10_000
 
 
 class DimensionError(ValueError):
