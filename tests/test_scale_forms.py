@@ -70,3 +70,21 @@ def test_many_searches_equal_single_ones(spark, monkeypatch):
         fits = [(-round(float(unit(v) @ unit(vectors[q])), 9), k) for k, v in enumerate(vectors) if len(v) == len(vectors[q]) and any(v)]
         assert [round(s, 6) for _, s in got[q]] == [round(-s, 6) for s, _ in sorted(fits)[:5]]
     assert 121 not in got and len(got[120]) == 1
+
+
+def test_empty_tables_have_no_pairs_and_no_neighbours(spark):
+    none = spark.createDataFrame([], "id long, embedding array<float>")
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "id long, embedding array<float>")
+    assert pairs.similar_pairs(none, 0.5).count() == 0 and pairs.similar_pairs(one, 0.5).count() == 0
+    assert pairs.pairs_between(none, one, 0.5).count() == 0 and pairs.nearest(none, one, 3).count() == 0
+    assert [tuple(r) for r in pairs.nearest(one, one, 3).collect()] == [(1, 1, 1.0, 0)]
+    assert pairs.nearest(one, none, 3).count() == 0
+    links = spark.createDataFrame([], "entity_id long, memory_id long, confidence double")
+    edges = spark.createDataFrame([], "source long, target long")
+    assert entities.shared_entity_classes(links, edges).count() == 0
+    assert graph.detect_cycles(edges.selectExpr("source", "target", "'x' AS edge_type")).count() == 0
+
+
+def test_cycles_behind_tails_are_found(spark):
+    edges = spark.createDataFrame([(k, k + 1, "x") for k in range(8)] + [(8, 6, "x"), (3, 20, "x"), (30, 31, "x"), (9, 9, "x")], "source long, target long, edge_type string")
+    assert sorted(r.cycle for r in graph.detect_cycles(edges).collect()) == [[6, 7, 8], [9]]
