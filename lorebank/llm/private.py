@@ -6,8 +6,9 @@ numbers (9 to 15 digits). A match that fails its test is dropped and not tried a
 
 Information-theoretic sanitisation then looks for terms that reveal a protected entity. Entities are the
 values found by pattern, and the credentials that a text assigns to one of the names CREDENTIALS
-(``token = "..."``) or that name themselves by one of KEY_FORMATS. A term is a word of three letters or more, or a code: a run of letters, digits and
-``_+/-`` of six characters or more with a digit. A term t discloses the share
+(``token = "..."``) or that name themselves by one of KEY_FORMATS. A term is a word of three letters or
+more, or a code: a run of letters, digits and ``_+/-`` of six characters or more with a digit. A term t
+discloses the share
 
     PMI(t; c) / IC(c) = log(N n(t,c) / (n(t) n(c))) / log(N / n(c))
 
@@ -18,13 +19,14 @@ REMOVE or more it is removed, wherever it stands outside of values, in every doc
 A value: t and c meet if one text holds both. One text proves nothing, and near copies of a text prove no
 more than it does, so they count only if they meet in at least two different texts that are not copies of
 one: the distinct entries of SKETCH min-hash columns over the texts' terms tell how many texts there are
-besides copies (see ``independent``). Texts of fewer than COPY_TERMS terms count as they are. Values of
-one text alone are left out before pairs are made, and so are terms too frequent to reach GENERALISE: that needs n(t) <= n(t,c) (N / n(c))^(1 - GENERALISE), and the
-documents with values already give a lower bound of n(t).
+besides copies (see ``independent``). Texts of fewer than COPY_TERMS terms count as they are. Values of one
+text alone are left out before pairs are made, and so are terms too frequent to reach GENERALISE: that
+needs n(t) <= n(t,c) (N / n(c))^(1 - GENERALISE), and the documents with values already give a lower bound
+of n(t).
 
-A credential: t and c meet if the text assigns t to the name, or t has the format. The name stands for many secrets, and one
-text is enough to give a secret away; N counts one document more, so that a name in all of them has
-content. A code that is written nowhere else discloses all of it, a common word next to nothing.
+A credential: t and c meet if the text assigns t to the name, or t has the format. The name stands for many
+secrets, and one text is enough to give a secret away; N counts one document more, so that a name in all
+of them has content. A code that is written nowhere else discloses all of it, a common word next to nothing.
 
 Each document is scanned once for values, credentials and, if it has a value, its terms; that goes to the
 shared folder and all counts of values and pairs come from there. A second pass counts n(t) of the few
@@ -47,7 +49,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebank.llm.common import durable, fresh, whole_text
+from lorebank.llm.common import bounded_batches, durable, fresh, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KIND = "term"
@@ -186,6 +188,28 @@ def _word_places(texts: pd.Series) -> pd.Series:
 PLACES = "array<struct<term:string,start:long,end:long>>"
 
 
+class Known:
+    """A set of terms with a value each, and a quick test which texts may hold one."""
+
+    def __init__(self, terms: dict[str, object]):
+        self.terms, self._automaton = terms, None
+
+    def __getstate__(self):
+        return {"terms": self.terms, "_automaton": None}
+
+    def may_be_in(self, text: str) -> bool:
+        """False only if no term is in the text, not even as a part of a word."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for term in self.terms:
+                self._automaton.add_word(term, term)
+            self._automaton.make_automaton()
+        # The small form of a capital sigma depends on what follows it, so a word's may differ from its text's.
+        return bool(self.terms) and ("\u03a3" in text or next(self._automaton.iter(text.lower()), None) is not None)
+
+
 def small_set(rows: DataFrame) -> list | None:
     """The rows, if there are at most BROADCAST_TERMS."""
     known = rows.limit(BROADCAST_TERMS + 1).collect()
@@ -200,12 +224,12 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
     if not known:
         return terms.select("term", F.lit(0).cast("long").alias("n"))
     names = sorted(r.term for r in known)
-    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(names)})
+    shared = docs.sparkSession.sparkContext.broadcast(Known({t: k for k, t in enumerate(names)}))
 
     @F.pandas_udf("array<int>")
     def held(texts: pd.Series) -> pd.Series:
-        numbers = shared.value
-        return pd.Series([[numbers[w] for w in words_of(t) & numbers.keys()] for t in texts], dtype=object)
+        wanted = shared.value
+        return pd.Series([[wanted.terms[w] for w in words_of(t) & wanted.terms.keys()] if wanted.may_be_in(t) else [] for t in texts], dtype=object)
 
     counts = docs.select(F.explode(held(whole_text(text_col))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, term string"), "k").select("term", "n")
@@ -231,6 +255,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             ))
         return pd.DataFrame(rows, columns=["base", "values", "secrets", "terms", "sketch"])
 
+    bounded_batches(docs.sparkSession)
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("key"), found(text).alias("f"))
     return durable(rows.select("doc_id", "key", "f.*").withColumns({"uid": F.monotonically_increasing_id(), "text_hash": F.xxhash64("key")}))
@@ -292,13 +317,13 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned, text = scan(docs, id_col, text_col), whole_text(text_col)
     risky = durable(disclosing_terms(docs, text_col, scanned).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
     known = small_set(risky)
-    shared = docs.sparkSession.sparkContext.broadcast({r.term: r.disclosure for r in known or []})
+    shared = docs.sparkSession.sparkContext.broadcast(Known({r.term: r.disclosure for r in known or []}))
 
     @F.pandas_udf("array<struct<start:long,end:long,disclosure:double>>")
     def marks(texts: pd.Series) -> pd.Series:
-        out, score = [], shared.value
+        out, score = [], shared.value.terms
         for t in texts:
-            hit = not score.keys().isdisjoint(words_of(t))
+            hit = shared.value.may_be_in(t) and not score.keys().isdisjoint(words_of(t))
             out.append([{"start": m.start(), "end": m.end(), "disclosure": score[w]} for m in free_words(t, base_spans(t)) if (w := m[0].lower()) in score] if hit else [])
         return pd.Series(out, dtype=object)
 

@@ -43,3 +43,14 @@ def test_near_copies_prove_no_more_than_one_text(spark):
 def test_very_long_texts_and_repeated_rows(spark):
     long = f'{"word " * 200_000}token = "{HEX}"'
     assert flagged(spark, [long, long, "word"]) == {0: {HEX}, 1: {HEX}}
+
+
+def test_the_quick_test_never_denies_a_term():
+    import pickle
+
+    terms = {"ας": 1, "zorblax": 2, "i̇x": 3, "q-1234": 4}
+    known = pickle.loads(pickle.dumps(private.Known(terms)))
+    texts = ["ΑΣ'Β", "a ZORBLAX b", "İX", "code Q-1234.", "nothing here", "", "zorbla"]
+    for t in texts:
+        assert known.may_be_in(t) or not private.words_of(t) & terms.keys()
+    assert not known.may_be_in("nothing here") and not private.Known({}).may_be_in("x")
