@@ -453,10 +453,10 @@ def store_graph(spark, sf):
     return Lorebank(spark, folder).edges().select("source", "target", "edge_type", F.round("weight", 6).alias("weight"))
 
 
-@query("store_memory_bank", "SELECT 's' || (n_regionkey % 2) AS section, n_name AS content FROM nation WHERE n_nationkey < 6")
+@query("store_memory_bank", "SELECT 's' || (n_regionkey % 2) AS section, n_name AS content FROM nation")
 def store_memory_bank(spark, sf):
     """A bank file in JSON, read into items of sections."""
-    folder, own = f"{shared_folder(spark)}/bankfile-{uuid.uuid4().hex}", [n for n in nations(spark, sf) if n.n_nationkey < 6]
+    folder, own = f"{shared_folder(spark)}/bankfile-{uuid.uuid4().hex}", nations(spark, sf)
     body = {"memory_bank": [{"section": f"s{k}", "tags": ["t"], "items": [n.n_name for n in own if n.n_regionkey % 2 == k]} for k in (0, 1)]}
     spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.text(folder)
     return store.read_bank(spark, folder).select("section", "content")

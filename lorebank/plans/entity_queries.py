@@ -158,14 +158,6 @@ def entity_link_pairs(spark, sf):
     return entities.shared_entity_classes(own, known)
 
 
-@query("entity_link_new_pairs", f"""{ALL}, G AS (SELECT memory_id AS source, memory_id + 25 AS target FROM LK WHERE memory_id % 3 = 0)
-SELECT a.memory_id AS a, b.memory_id AS b FROM LK a JOIN LK b ON a.entity_id = b.entity_id AND a.memory_id < b.memory_id LEFT JOIN G ON a.memory_id = source AND b.memory_id = target WHERE source IS NULL AND a.entity_id < 3""")
-def entity_link_new_pairs(spark, sf):
-    own = links(spark, sf)
-    known = own.where("memory_id % 3 = 0").select(F.col("memory_id").alias("source"), (F.col("memory_id") + 25).alias("target"))
-    return entities.shared_entity_pairs(own.where("entity_id < 3"), known)
-
-
 @query("extraction_validation", "SELECT * FROM (VALUES (1, 'empty content'), (2, 'confidence out of range'), (3, 'validity ends before it begins'), (4, 'attributes are no object')) t(id, violation)")
 def extraction_validation(spark, sf):
     rows = spark.sql("""SELECT * FROM VALUES (0, 'fine', 0.5D, 1L, 2L, '{"a": 1}'), (1, ' ', 0.5D, null, null, null), (2, 'x', 1.5D, null, null, null), (3, 'x', 0.5D, 5L, 5L, null), (4, 'x', 0.5D, null, null, '[1]')

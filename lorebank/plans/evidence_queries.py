@@ -148,13 +148,6 @@ def category_edges(spark, sf):
     return ex.category_classes(p)
 
 
-@query("category_edge_pairs", """WITH C AS (SELECT p_partkey AS id, lower(p_type) AS c FROM part WHERE p_partkey % 7 = 3)
-SELECT a.id AS source, b.id AS target, 'same_category:' || a.c AS label FROM C a JOIN C b ON a.c = b.c AND a.id < b.id""")
-def category_edge_pairs(spark, sf):
-    p = fx.table(spark, sf, "part").where("p_partkey % 7 = 3").select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("category"))
-    return ex.category_edges(p).select("source", "target", "label")
-
-
 @query("gist_candidates", f"{ALL} SELECT entity_id, count(DISTINCT memory_id) AS memories FROM LK JOIN EN USING (entity_id) WHERE n_regionkey <> 0 GROUP BY entity_id HAVING count(DISTINCT memory_id) >= 5")
 def gist_candidates(spark, sf):
     return ex.gist_candidates(links(spark, sf), ents(spark, sf).where("n_regionkey = 0"))

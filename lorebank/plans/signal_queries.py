@@ -258,11 +258,12 @@ def redirected_edges(spark, sf):
     return extraction.redirected(edges, rows(spark, [(1, 1), (2, 1), (3, 1)], "id int, root int"))
 
 
-@query("mention_edges", f"""{W_MV}, W AS (SELECT id, unnest(list_distinct(list_filter(string_split_regex(lower(content), '[ \\t\\r\\n\\f\\x0b]+'), lambda w: w <> ''))) AS w FROM MV), F AS (SELECT id, ['the', 'eau', 'einheit'][CAST(id % 3 + 1 AS INTEGER)] AS w FROM MV WHERE id < 30)
+@query("mention_edges", f"""{W_MV}, W AS (SELECT id, unnest(list_distinct(list_filter(string_split_regex(lower(content), '[ \\t\\r\\n\\f\\x0b]+'), lambda w: w <> ''))) AS w FROM MV), F AS (SELECT id, list_filter(string_split_regex(lower(content), '[ \\t\\r\\n\\f\\x0b]+'), lambda w: w <> '')[1] AS w FROM MV)
 SELECT F.id AS source, W.id AS target, 0.5::DOUBLE AS weight FROM F JOIN W USING (w) WHERE F.id <> W.id""")
 def mention_edges(spark, sf):
+    """Every memory's first word as the subject of a fact, and the other memories that hold it."""
     m = fx.vector_memories(spark, sf)
-    facts = m.where("id < 30").select("id", F.element_at(F.array(F.lit("The"), F.lit("eau"), F.lit("Einheit")), (F.col("id") % 3 + 1).cast("int")).alias("subject"))
+    facts = m.select("id", F.get(tx.words("content"), F.lit(0)).alias("subject"))
     return extraction.mention_edges(facts, m, NOW).select("source", "target", "weight")
 
 
@@ -302,11 +303,11 @@ def applied_actions(spark, sf):
     return lifecycle.apply_invalidations(m, end.unionByName(low), NOW).select("id", "valid_until_us", F.round("confidence", 6).alias("confidence"))
 
 
-@query("policy_run_rows", f"{W_M} SELECT id AS memory_id, CASE WHEN id % 2 = 0 THEN 'forget' ELSE 'would_forget' END AS action, CASE WHEN id % 2 = 0 THEN 'applied' ELSE 'planned' END AS status FROM M WHERE id % 50 < 2")
+@query("policy_run_rows", f"{W_M} SELECT id AS memory_id, CASE WHEN memory_type = 'AntiPattern' THEN 'forget' ELSE 'would_forget' END AS action, CASE WHEN memory_type = 'AntiPattern' THEN 'applied' ELSE 'planned' END AS status FROM M WHERE memory_type IN ('AntiPattern', 'Correction')")
 def policy_run_rows(spark, sf):
     m = fx.memories(spark, sf)
-    done = policies.policy_actions(m.where("id % 50 = 0 and id % 2 = 0"), "run1", "forget", True, NOW)
-    return done.unionByName(policies.policy_actions(m.where("id % 50 = 1 and id % 2 = 1"), "run2", "forget", False, NOW)).select("memory_id", "action", "status")
+    done = policies.policy_actions(m.where("memory_type = 'AntiPattern'"), "run1", "forget", True, NOW)
+    return done.unionByName(policies.policy_actions(m.where("memory_type = 'Correction'"), "run2", "forget", False, NOW)).select("memory_id", "action", "status")
 
 
 @query("context_delta_text", "SELECT 'Since last turn' || chr(10) || chr(10) || '## 🎯 Critical Context' || chr(10) || '- [NEW] Semantic | new and sure' || chr(10) || '## 📋 Primary Context' || chr(10) || '- [NEW] Episodic | new too' AS context")
@@ -403,8 +404,8 @@ def cache_pre_assembled(spark, sf):
     return out.select("session_id", "topic", "context", F.array_join("memory_ids", ",").alias("ids"))
 
 
-@query("bounded_calls", "SELECT doc_id, CAST(length(text) AS VARCHAR) AS answer FROM documents WHERE lang = 'en'")
+@query("bounded_calls", "SELECT doc_id, CAST(length(text) AS VARCHAR) AS answer FROM documents")
 def bounded_calls_query(spark, sf):
     """An extractor over texts, at most four calls at a time."""
-    docs = fx.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     return bounded_calls(docs, lambda text: str(len(text))).select("doc_id", "answer")
