@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from lorebank.operators import entities, extraction, graph, pairs
+from lorebank.operators import entities, extraction, graph, lifecycle, pairs
 
 
 @pytest.mark.parametrize("rows, pivot_rows, least", [(300, 50_000, 256), (300, 20, 16), (300, 300, 7)])
@@ -88,3 +88,28 @@ def test_empty_tables_have_no_pairs_and_no_neighbours(spark):
 def test_cycles_behind_tails_are_found(spark):
     edges = spark.createDataFrame([(k, k + 1, "x") for k in range(8)] + [(8, 6, "x"), (3, 20, "x"), (30, 31, "x"), (9, 9, "x")], "source long, target long, edge_type string")
     assert sorted(r.cycle for r in graph.detect_cycles(edges).collect()) == [[6, 7, 8], [9]]
+
+
+def test_inference_of_blocks_equals_that_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pairs, "TILE", (4, 8))
+    monkeypatch.setattr(pairs, "SENT_ROWS", 5)
+    rng = np.random.default_rng(8)
+    kinds, some = ("Correction", "Semantic"), rng.normal(size=(12, 3)).tolist()
+    own = [(k, some[k % 12] if k % 4 else rng.normal(size=3).tolist(), kinds[k % 2], None if k % 9 == 0 else k % 3, None if k % 7 == 0 else f"t{k % 5}", k * 37 % 50, k % 10 / 10) for k in range(60)]
+    own += [(60, [0.0] * 3, "Correction", 1, "x", 1, 0.5), (61, [1.0], "Correction", 1, "x", 1, 0.5), (62, None, "Correction", 1, "x", 1, 0.5)]
+    rows = spark.createDataFrame(own, "id long, embedding array<float>, memory_type string, agent_id long, content string, created_at_us long, confidence double")
+    new, bounds = rows.where("id % 3 = 0 or id > 58"), (0.9, 0.7, 0.4, 0.5)
+    listed = lambda df: sorted((r.action, r.source, r.target, round(r.weight, 9)) for r in df.collect())
+    got = listed(lifecycle.write_inference_between(new, rows, 0.2, *bounds))
+    assert got == listed(lifecycle.write_inference(lifecycle.new_against_existing(new, rows, 0.2), rows, *bounds))
+    assert {x[0] for x in got} == {"contradicts", "mark_obsolete", "invalidate", "related", "supersedes", "lower_confidence"}
+
+
+def test_inference_shuffles_no_text_and_no_pair(spark, sf):
+    from lorebank.plans.catalog import QUERIES
+
+    plan = QUERIES["write_inference_actions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "FlatMapGroups" in plan
+    above = plan[: plan.index("FlatMapGroups")]
+    assert "Join" not in above and "Window" not in above
