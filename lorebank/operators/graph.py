@@ -96,8 +96,11 @@ def subgraph_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def shortest_path(edges: DataFrame, start, goal) -> list | None:
-    """The first of the shortest paths in id order, by levels from the start; None if there is none."""
+def shortest_path(edges: DataFrame, start, goal, longest: int | None = None) -> list | None:
+    """The first of the shortest paths in id order, by levels from the start; None if there is none.
+
+    With ``longest``, paths of more steps do not count.
+    """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["source"]
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.array(F.lit(start).cast(kind)).alias("path"))
@@ -106,7 +109,7 @@ def shortest_path(edges: DataFrame, start, goal) -> list | None:
     steps = edges.select(F.col("source"), F.col("target").alias("next")).distinct()
     visited = frontier.select("id")
     depth = 0
-    while True:
+    while longest is None or depth < longest:
         step = frontier.join(steps, frontier.id == steps.source).select(F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"))
         frontier = durable(step.join(visited, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         if found := frontier.where(F.col("id") == goal).head():
@@ -115,6 +118,7 @@ def shortest_path(edges: DataFrame, start, goal) -> list | None:
             return None
         depth += 1
         visited = grown(visited, frontier.select("id"), depth)
+    return None
 
 
 def contradictions(edges: DataFrame, node) -> DataFrame:

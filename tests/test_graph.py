@@ -127,3 +127,20 @@ def test_strengthen_keeps_the_first_edge(spark):
     assert sorted(r.weight for r in out.collect()) == [0.9, 1.0]
     assert [r.weight for r in graph.latest_pair_edges(out).collect()] == [1.0]
     assert graph.nodes(out).orderBy(F.col("id")).collect()[0].id == 1
+
+
+@pytest.mark.parametrize("vectors, hops", [(133, 12), (147, 13)])
+def test_path_length_counts_as_its_sql_does(spark, tmp_path, vectors, hops):
+    import duckdb
+    from lorebank.plans.catalog import ORACLES, QUERIES
+    from lorebank.sources import fixtures
+
+    spark.range(vectors).withColumnRenamed("id", "vec_id").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(ORACLES["shortest_path_len"]).fetchall()
+    assert want == [(h,) for h in [hops] if h <= 12]
+    assert [tuple(r) for r in QUERIES["shortest_path_len"](spark, str(tmp_path)).collect()] == want
+    edges = fixtures.edges(spark, str(tmp_path))
+    assert len(graph.shortest_path(edges, 0, 100)) == hops + 1
+    assert graph.shortest_path(edges, 0, 100, hops - 1) is None
